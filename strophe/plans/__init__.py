@@ -1,3 +1,3 @@
 """Queries over the given tables."""
 
-MODULES = ["scalars"]
+MODULES = ["scalars", "files"]

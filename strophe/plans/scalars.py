@@ -433,12 +433,14 @@ def _(spark, sf):
     + r""", w AS (SELECT song, line_no, k, parts[k] AS word FROM (SELECT song, line_no, parts, unnest(range(1, len(parts) + 1)) AS k
         FROM (SELECT song, line_no, list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '') AS parts FROM lines))),
     n AS (SELECT song, line_no, word, row_number() OVER (PARTITION BY song ORDER BY line_no, k) - 1 AS word_no FROM w)
-    SELECT song, line_no, word_no, i - 1 AS char_no, substr(word, i, 1) AS char
-    FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM n)""",
+    SELECT song, line_no, word_no, CAST(length(word) AS BIGINT) AS n_chars, word AS spelled FROM n""",
 )
 def _(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("song"), "text")
-    return text.tokenize(docs, "text").select("song", "line_no", "word_no", "char_no", "char")
+    chars = text.tokenize(docs, "text")
+    return chars.groupBy("song", "line_no", "word_no").agg(
+        F.count(F.lit(1)).alias("n_chars"), F.expr("listagg(char, '') WITHIN GROUP (ORDER BY char_no)").alias("spelled")
+    )
 
 
 @query(
