@@ -21,17 +21,22 @@ def magnitude_block(value: Column) -> Column:
     return F.when(value < 0, -size).otherwise(size)
 
 
+def from_counts(
+    counts: DataFrame, keys: Sequence[str], value: str, block: Column | None = None
+) -> DataFrame:
+    """Add ``cum``, the last rank of each value, to a table (keys, value, cnt, n)."""
+    blk = magnitude_block(F.col(value)) if block is None else block
+    return scan(counts, keys, [value], blk, cum=run_sum(F.col("cnt")))
+
+
 def ranked_counts(
     df: DataFrame, keys: Sequence[str], value: str, block: Column | None = None
 ) -> DataFrame:
-    """(keys, value, cnt, cum, n): how often each value occurs and its last rank."""
-    counts = (
-        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
-    )
-    blk = magnitude_block(F.col(value)) if block is None else block
-    cum = scan(counts, keys, [value], blk, cum=run_sum(F.col("cnt")))
-    # A size per key, broadcast or shuffled as AQE finds fit.
-    sizes = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    """(keys, value, cnt, n, cum): how often each value occurs and its last rank."""
+    counted = df.where(F.col(value).isNotNull())
+    counts = counted.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
+    cum = from_counts(counts, keys, value, block)
+    sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return cum.join(sizes, list(keys))
 
 

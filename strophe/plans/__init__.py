@@ -1,3 +1,3 @@
 """Queries over the given tables."""
 
-MODULES = ["scalars", "files"]
+MODULES = ["scalars", "files", "statistics"]

@@ -162,25 +162,6 @@ _PAIR_VALUES = ", ".join(
 _SCORE_SQL = f"pairs(x, y, s) AS (VALUES {_PAIR_VALUES})"
 
 
-@query(
-    "phonetic_score",
-    f"""WITH {_SCORE_SQL},
-    letters AS (SELECT DISTINCT substr(strip_accents(lower(p_name)), CAST(k AS BIGINT), 1) AS c
-                FROM part, range(1, 40) r(k) WHERE k <= length(p_name)
-                UNION SELECT DISTINCT lower(substr(c_mktsegment, CAST(k AS BIGINT), 1)) FROM customer, range(1, 20) r(k) WHERE k <= length(c_mktsegment))
-    SELECT a.c AS a, b.c AS b, CASE WHEN a.c = b.c THEN 1.0 ELSE coalesce(s, -0.3) END AS score
-    FROM letters a, letters b LEFT JOIN pairs p ON p.x = a.c AND p.y = b.c""",
-)
-def _(spark, sf):
-    # Distinct characters: bounded by the alphabet, so the pairs are few.
-    names = table(spark, sf, "part").select(text.normalize_token(F.col("p_name")).alias("s"))
-    segments = table(spark, sf, "customer").select(F.lower("c_mktsegment").alias("s"))
-    letters = names.unionByName(segments).select(F.explode(phonetics.chars_of(F.col("s"))).alias("c")).distinct()
-    pool = letters.agg(F.collect_set("c").alias("pool"))
-    pairs = letters.join(F.broadcast(pool)).select(F.col("c").alias("a"), F.explode("pool").alias("b"))
-    return pairs.select("a", "b", F.round(phonetics.phonetic_score(F.col("a"), F.col("b")), 6).alias("score"))
-
-
 # Similarity of the colour and the object in each part name, over distinct names.
 _NAME_SQL = """names AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part),
 cells AS (SELECT a, b, i, j, CASE WHEN substr(a, i, 1) = substr(b, j, 1) THEN 1.0::DOUBLE ELSE coalesce(p.s, -0.3::DOUBLE) END AS s
@@ -195,6 +176,19 @@ def _name_pairs(spark, sf):
     return table(spark, sf, "part").select(words[0].alias("a"), words[1].alias("b")).distinct()
 
 
+@query(
+    "phonetic_score",
+    f"""WITH {_SCORE_SQL}, {_NAME_SQL}
+    SELECT DISTINCT substr(a, i, 1) AS x, substr(b, j, 1) AS y, s AS score FROM cells""",
+)
+def _(spark, sf):
+    chars = _name_pairs(spark, sf).select(
+        F.explode(phonetics.chars_of(F.col("a"))).alias("x"), phonetics.chars_of(F.col("b")).alias("ys")
+    )
+    pairs = chars.select("x", F.explode("ys").alias("y")).distinct()
+    return pairs.select("x", "y", F.round(phonetics.phonetic_score(F.col("x"), F.col("y")), 6).alias("score"))
+
+
 @query(
     "word_similarity",
     f"""WITH {_SCORE_SQL}, {_NAME_SQL}

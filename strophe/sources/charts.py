@@ -62,47 +62,66 @@ def text_lines(text: Column) -> Column:
 # ---- single lines --------------------------------------------------------------
 
 
+MARK = "\x01"
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _fields(x: Column, pattern: str, groups: int) -> Column:
+    """The groups of a match as an array with one empty cell in front, null without a match."""
+    shown = "".join(f"{MARK}${g}" for g in range(1, groups + 1))
+    marked = F.regexp_replace(x, pattern, shown)
+    hit = F.startswith(marked, F.lit(MARK)) & ~F.startswith(x, F.lit(MARK))
+    return F.when(hit, F.split(marked, MARK, groups + 1))
+
+
 def _note(kind: Column, beat: Column, duration: Column, pitch: Column, syllable: Column) -> Column:
     return F.struct(
         kind.alias("note_type"),
-        beat.cast("long").alias("start_beat"),
-        duration.cast("long").alias("duration"),
-        pitch.cast("int").alias("pitch"),
+        beat.try_cast("long").alias("start_beat"),
+        duration.try_cast("long").alias("duration"),
+        pitch.try_cast("int").alias("pitch"),
         syllable.alias("syllable"),
     )
 
 
 def _rest(dashed: Column) -> Column:
     """A rest, or the sung note hidden in a damaged rest line; null if unreadable."""
-    after = strip(F.substring(dashed, F.lit(2), F.length(dashed)))
-    colon = F.locate(":", after)
-    tail = strip(F.substring(after, colon + 1, F.length(after)))
-    found = _note(
-        F.lit(":"),
-        F.regexp_extract(tail, NOTE_FIELDS, 1),
-        F.regexp_extract(tail, NOTE_FIELDS, 2),
-        F.regexp_extract(tail, NOTE_FIELDS, 3),
-        F.regexp_extract(tail, NOTE_FIELDS, 4),
-    )
-    head = strip(F.substring(after, F.lit(1), colon - 1))
-    beat = F.when(colon > 0, head).otherwise(F.regexp_extract(after, rf"^([^\s\x1c-\x1f\x85\p{{Z}}]*)", 1))
-    number = F.when(F.regexp_like(beat, F.lit(WHOLE_NUMBER)), F.replace(beat, F.lit("_"), F.lit("")))
-    plain = F.when(
-        number.isNotNull(), _note(F.lit("-"), number.try_cast("long"), F.lit(0), F.lit(0), F.lit(""))
-    )
-    return F.when((colon > 0) & F.regexp_like(tail, F.lit(NOTE_FIELDS)), found).otherwise(plain)
+
+    def plain(beat: Column) -> Column:
+        ok = F.regexp_like(beat, F.lit(WHOLE_NUMBER))
+        number = F.replace(beat, F.lit("_"), F.lit(""))
+        return F.when(ok, _note(F.lit("-"), number, F.lit(0), F.lit(0), F.lit("")))
+
+    def split_at_colon(after: Column) -> Column:
+        colon = F.position(F.lit(":"), after)
+        head = strip(F.substring(after, F.lit(1), colon - 1))
+        tail = strip(F.substring(after, colon + 1, F.length(after)))
+        first = F.regexp_extract(after, r"^([^\s\x1c-\x1f\x85\p{Z}]*)", 1)
+        found = let(
+            _fields(tail, NOTE_FIELDS, 4),
+            lambda m: F.when(m.isNotNull(), _note(F.lit(":"), m[1], m[2], m[3], m[4])),
+        )
+        return F.when(colon > 0, F.coalesce(found, plain(head))).otherwise(plain(first))
+
+    return let(strip(F.substring(dashed, F.lit(2), F.length(dashed))), split_at_colon)
 
 
 def parse_line(line: Column) -> Column:
     """The note or rest on one line as a struct, null for headers and anything else."""
-    bare = F.regexp_replace(line, "\r+$", "")
-    trimmed = strip(line)
-    note = _note(*[F.regexp_extract(bare, NOTE_LINE, g) for g in range(1, 6)])
-    return (
-        F.when(F.startswith(trimmed, F.lit("#")), F.lit(None))
-        .when(F.regexp_like(bare, F.lit(NOTE_LINE)), note)
-        .when(F.startswith(trimmed, F.lit("-")), _rest(trimmed))
-    )
+
+    def read(trimmed: Column) -> Column:
+        note = let(
+            _fields(F.regexp_replace(line, "\r+$", ""), NOTE_LINE, 5),
+            lambda m: F.when(m.isNotNull(), _note(m[1], m[2], m[3], m[4], m[5])),
+        )
+        rest = F.when(F.startswith(trimmed, F.lit("-")), _rest(trimmed))
+        return F.when(~F.startswith(trimmed, F.lit("#")), F.coalesce(note, rest))
+
+    return let(strip(line), read)
 
 
 def parse_strict_line(line: Column) -> Column:
