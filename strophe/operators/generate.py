@@ -19,6 +19,7 @@ from strophe.operators.scan import (
     run_sum,
     scan,
 )
+from strophe.session import stage
 
 LEAD_IN_MS = 500
 GRID_MULTIPLIER = 2
@@ -167,8 +168,9 @@ def generate(
     headed = headed.withColumn(
         "gap", anchor_gap(F.col("first_note_ms"), F.col("first_beat_ms"), F.col("bpm"), lead_in_ms)
     )
-    timed = syllables.join(headed.select(*keys, "bpm", "gap"), keys)
-    notes = notes_on_grid(timed, keys, ordinal, F.col("bpm"), F.col("gap"))
+    headed = stage(headed)
+    timed = stage(syllables.join(headed.select(*keys, "bpm", "gap"), keys))
+    notes = stage(notes_on_grid(timed, keys, ordinal, F.col("bpm"), F.col("gap")))
     if lyric_lines is None:
         sung_start = F.when(F.col("note_type") != "-", F.col(ordinal))
         firsts = notes.groupBy(*keys).agg(F.min_by("start_beat", sung_start).alias("_first"))
@@ -199,13 +201,16 @@ def block_to_beats(
     """
     keys = list(keys)
     sung = line_numbers(notes, keys, ordinal, "_line").where("note_type <> '-'")
-    per_line = sung.groupBy(*keys, "_line").agg(
-        F.min_by("start_beat", ordinal).alias("first"),
-        F.max_by(F.col("start_beat") + F.col("duration"), ordinal).alias("last"),
+    per_line = stage(
+        sung.groupBy(*keys, "_line").agg(
+            F.min_by("start_beat", ordinal).alias("first"),
+            F.max_by(F.col("start_beat") + F.col("duration"), ordinal).alias("last"),
+        )
     )
     whole = per_line.groupBy(*keys).agg(
         (F.max("_line") + 1).alias("groups"), F.min_by("first", "_line").alias("first_beat")
     )
+    lines = stage(lines)
     counts = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("lyric_lines"))
     block = repeated_block(lines, keys, "line", "line_no").join(counts, keys)
     fits = whole.join(block, keys).where("groups = lyric_lines")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strophe.functions import music
 from strophe.functions.text import strip
 from strophe.operators.scan import halo, ordinal_block, position, prev_seen, run_sum, scan
+from strophe.session import stage
 
 LYRICS_SQL = """,
 kept AS (SELECT song, pos, line, syllable, lag(syllable) OVER (PARTITION BY song, line ORDER BY pos) AS prev FROM
@@ -107,18 +108,23 @@ def repeated_block(lines: DataFrame, keys: Sequence[str], line: str, ordinal: st
     with another. ``ordinal`` must be dense from 0.
     """
     keys = list(keys)
-    ids = halo(
-        lines.select(*keys, ordinal, line),
-        keys,
-        ordinal,
-        2,
-        {"_b": lambda w: F.lead(line, 1).over(w), "_c": lambda w: F.lead(line, 2).over(w)},
+    ids = stage(
+        halo(
+            lines.select(*keys, ordinal, line),
+            keys,
+            ordinal,
+            2,
+            {"_b": lambda w: F.lead(line, 1).over(w), "_c": lambda w: F.lead(line, 2).over(w)},
+        )
     )
     pairs = ids.where("_b IS NOT NULL").withColumn("_p", F.struct(F.col(line).alias("x"), F.col("_b").alias("y")))
-    long_enough = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 4").select(*keys)
-    pair_counts = pairs.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_cnt"), F.min(ordinal).alias("_at"))
+    long_enough = ids.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 4").select(*keys)
+    pair_counts = stage(
+        pairs.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_cnt"), F.min(ordinal).alias("_at"))
+        .where("_cnt >= 2")
+    )
     best = (
-        pair_counts.groupBy(*keys).agg(F.max("_cnt").alias("times")).where("times >= 2").join(long_enough, keys)
+        pair_counts.groupBy(*keys).agg(F.max("_cnt").alias("times")).join(long_enough, keys)
     )
     top_pairs = (
         pair_counts.join(best, keys).where("_cnt = times").groupBy(*keys, "times").agg(F.min("_at").alias("_at"))

@@ -516,12 +516,12 @@ def resolve_overlaps(
         rows.withColumn("_t", touches), keys, ordinal, 1, {"_pt": lambda w: F.lag("_t").over(w)}
     )
     island = scan(
-        tied, keys, [ordinal], ordinal_block(ordinal), _isl=run_count(~F.coalesce(F.col("_pt"), F.lit(False)))
+        tied, keys, [ordinal], ordinal_block(ordinal), isl=run_count(~F.coalesce(F.col("_pt"), F.lit(False)))
     )
     types = dict(words.dtypes)
-    group = [*keys, "_isl"]
+    group = [*keys, "isl"]
     schema = ", ".join(
-        [*[f"{k} {types[k]}" for k in keys], "_isl bigint", f"{ordinal} {types[ordinal]}", "s double", "e double"]
+        [*[f"{k} {types[k]}" for k in keys], "isl bigint", f"{ordinal} {types[ordinal]}", "s double", "e double"]
     )
     slim = island.select(*group, ordinal, F.col(start).alias("s"), F.col(end).alias("e"), "pauses")
     cut = ordered_fold(slim, group, [ordinal], lambda: _Cuts(group, ordinal), schema)

@@ -272,19 +272,21 @@ def verse_summary(
 ) -> DataFrame:
     """Notes, span, pitch range and mean confidence per verse and per song.
 
-    One pass with a rollup; song rows have a null verse.
+    Verses are summed up first, then copied to both levels, so that the second
+    grouping sees verses instead of notes. Song rows have a null verse.
     """
+    verses = notes.groupBy(*keys, verse).agg(
+        F.count(F.lit(1)).alias("notes"),
+        F.min(start).alias("_from"),
+        F.max(end).alias("_to"),
+        F.min(pitch).alias("low"),
+        F.max(pitch).alias("high"),
+        F.sum(confidence).alias("_conf"),
+    )
+    levels = F.explode(F.array(F.col(verse).cast("long"), F.lit(None).cast("long")))
     return (
-        notes.groupBy(*keys, verse)
-        .agg(
-            F.count(F.lit(1)).alias("notes"),
-            F.min(start).alias("_from"),
-            F.max(end).alias("_to"),
-            F.min(pitch).alias("low"),
-            F.max(pitch).alias("high"),
-            F.sum(confidence).alias("_conf"),
-        )
-        .groupBy(*keys, F.explode(F.array(F.col(verse), F.lit(None).cast("long"))).alias(verse))
+        verses.withColumn("_level", levels)
+        .groupBy(*keys, F.col("_level").alias(verse))
         .agg(
             F.sum("notes").alias("notes"),
             (F.max("_to") - F.min("_from")).alias("span"),

@@ -359,7 +359,7 @@ def _(spark, sf):
     "artifact_filter",
     r"""WITH f AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'run/a.JSON' WHEN 1 THEN 'note_segments_plots/x.html' WHEN 2 THEN url || '/view.html'
         WHEN 3 THEN 'note_segments_plots.txt' ELSE url END AS path, epoch_us(ts) / 1000000.0 AS modified FROM pages JOIN events ON page_id = event_id)
-    SELECT page_id, path FROM f WHERE page_id % 5 IN (0, 2, 3) AND modified >= 1704067200.0 + 20000 - 2""",
+    SELECT page_id, path FROM f WHERE (page_id % 5 IN (0, 2, 3) OR page_id % 5 = 4 AND regexp_matches(lower(path), '[^/]\.(json|html|txt)$')) AND modified >= 1704067200.0 + 20000 - 2""",
 )
 def _(spark, sf):
     p = F.col("page_id")

@@ -133,7 +133,7 @@ def _(spark, sf):
     r"""SELECT doc_id, strip_accents(lower(text)) AS norm FROM documents""",
 )
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.normalize_token_full("text").alias("norm"))
+    return table(spark, sf, "documents").select("doc_id", text.normalize_token_full(F.col("text")).alias("norm"))
 
 
 @query(
@@ -159,7 +159,7 @@ _PAIR_VALUES = ", ".join(
     for x, y in phonetics.letter_pairs()
     if phonetics.pair_score(x, y) not in (phonetics.EQUAL, phonetics.MISMATCH)
 )
-_SCORE_SQL = f"pairs(x, y, s) AS (VALUES {_PAIR_VALUES})"
+SCORE_SQL = f"pairs(x, y, s) AS (VALUES {_PAIR_VALUES})"
 
 
 # Similarity of the colour and the object in each part name, over distinct names.
@@ -178,7 +178,7 @@ def _name_pairs(spark, sf):
 
 @query(
     "phonetic_score",
-    f"""WITH {_SCORE_SQL}, {_NAME_SQL}
+    f"""WITH {SCORE_SQL}, {_NAME_SQL}
     SELECT DISTINCT substr(a, i, 1) AS x, substr(b, j, 1) AS y, s AS score FROM cells""",
 )
 def _(spark, sf):
@@ -191,7 +191,7 @@ def _(spark, sf):
 
 @query(
     "word_similarity",
-    f"""WITH {_SCORE_SQL}, {_NAME_SQL}
+    f"""WITH {SCORE_SQL}, {_NAME_SQL}
     SELECT a, b, round(CASE WHEN a = b THEN 1.0 ELSE (f + g) / 2 END, 6) AS score FROM fwd JOIN bwd USING (a, b)""",
 )
 def _(spark, sf):
@@ -201,7 +201,7 @@ def _(spark, sf):
 
 @query(
     "word_coverage",
-    f"""WITH {_SCORE_SQL}, {_NAME_SQL} SELECT a, b, round(f, 6) AS score FROM fwd""",
+    f"""WITH {SCORE_SQL}, {_NAME_SQL} SELECT a, b, round(f, 6) AS score FROM fwd""",
 )
 def _(spark, sf):
     score = phonetics.word_coverage(F.col("a"), F.col("b"))

@@ -164,16 +164,16 @@ def _(spark, sf):
 @query(
     "median_candidate",
     "WITH " + _VOTES + """,
-    a AS (SELECT *, bool_or(kind = 'view') OVER (PARTITION BY song, day) AS some FROM v),
-    f AS (SELECT * FROM a WHERE kind = 'view' OR NOT some),
-    m AS (SELECT *, median(midi) OVER w AS ms, median(amp) OVER w AS me FROM f WINDOW w AS (PARTITION BY song, day)),
-    r AS (SELECT *, row_number() OVER (PARTITION BY song, day ORDER BY round(abs(midi - ms) + abs(amp - me), 6), -conf, id) AS rn FROM m)
+    a AS (SELECT *, bool_or(kind = 'view') OVER (PARTITION BY song, day) AS has_view FROM v),
+    f AS (SELECT * FROM a WHERE kind = 'view' OR NOT has_view),
+    m AS (SELECT *, median(midi) OVER w AS ms, median(round_even(amp, 0)) OVER w AS me FROM f WINDOW w AS (PARTITION BY song, day)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY song, day ORDER BY abs(midi - ms) + abs(round_even(amp, 0) - me), -conf, id) AS rn FROM m)
     SELECT song, day, id, kind FROM r WHERE rn = 1""",
 )
 def _(spark, sf):
-    rows = _votes(spark, sf)
+    rows = _votes(spark, sf).withColumn("whole", F.rint("amp"))
     out = S.median_candidate(
-        rows, ["song", "day"], F.col("kind") == "view", "midi", "amp", F.col("conf"), "id"
+        rows, ["song", "day"], F.col("kind") == "view", "midi", "whole", F.col("conf"), "id"
     )
     return out.select("song", "day", "id", "kind")
 

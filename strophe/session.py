@@ -49,6 +49,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint that survives executor loss."""
-    scratch(df.sparkSession)
-    return df.checkpoint()
+    """Write a table to the shared folder and read it back.
+
+    Cuts the lineage where a result is used several times; later steps read only
+    the columns they need, and a lost executor costs no recomputation.
+    """
+    path = fresh_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
