@@ -225,7 +225,7 @@ def copy_to_repeats(
 
     ``sources`` names (keys, line_no); ``line_keys`` has (keys, line_no, line_key).
     Each target keeps the place of its first note. If several sources share a
-    key the first is copied. Adds ``overlaps``: whether the row belongs to a
+    key the first is copied. Adds ``too_long``: whether the row belongs to a
     copied line that now ends after the next line's first note.
     """
     keys = list(keys)
@@ -256,8 +256,8 @@ def copy_to_repeats(
         F.bool_or("_copied").alias("_cp"),
     )
     after = scan(ends, keys, ["line_no"], ordinal_block("line_no"), _next=lead(F.col("_start")))
-    flags = after.select(*keys, "line_no", (F.col("_cp") & F.coalesce(F.col("_end") > F.col("_next"), F.lit(False))).alias("overlaps"))
+    flags = after.select(*keys, "line_no", (F.col("_cp") & F.coalesce(F.col("_end") > F.col("_next"), F.lit(False))).alias("too_long"))
     flagged = rows.join(flags, [*keys, "line_no"], "left").select(
-        *keys, "_o", "_sub", *NOTE_FIELDS, F.coalesce("overlaps", F.lit(False)).alias("overlaps")
+        *keys, "_o", "_sub", *NOTE_FIELDS, F.coalesce("too_long", F.lit(False)).alias("too_long")
     )
     return renumber(flagged, keys, ["_o", "_sub"], ordinal_block("_o"), ordinal)

@@ -24,10 +24,10 @@ def _out(df):
 @query(
     "edit_split",
     "WITH " + roles.CHART_SQL + """,
-    e AS (SELECT *, pos % 6 = 1 AS hit, CASE WHEN pos % 12 = 1 THEN start_beat + 3 ELSE CAST(floor(start_beat + duration / 2.0 + 0.5) AS BIGINT) END AS at FROM chart),
-    f AS (SELECT *, hit AND note_type <> '-' AND duration >= 2 AND at > start_beat AND at < start_beat + duration AS ok FROM e),
-    p AS (SELECT song, pos, 0 AS i, note_type, start_beat, CASE WHEN ok THEN at - start_beat ELSE duration END AS duration, pitch, syllable FROM f
-      UNION ALL SELECT song, pos, 1, note_type, at, start_beat + duration - at, pitch, '~' FROM f WHERE ok)
+    e AS (SELECT *, pos % 6 = 1 AS hit, CASE WHEN pos % 12 = 1 THEN start_beat + 3 ELSE CAST(floor(start_beat + duration / 2.0 + 0.5) AS BIGINT) END AS cut_at FROM chart),
+    f AS (SELECT *, hit AND note_type <> '-' AND duration >= 2 AND cut_at > start_beat AND cut_at < start_beat + duration AS ok FROM e),
+    p AS (SELECT song, pos, 0 AS i, note_type, start_beat, CASE WHEN ok THEN cut_at - start_beat ELSE duration END AS duration, pitch, syllable FROM f
+      UNION ALL SELECT song, pos, 1, note_type, cut_at, start_beat + duration - cut_at, pitch, '~' FROM f WHERE ok)
     SELECT song, row_number() OVER (PARTITION BY song ORDER BY pos, i) - 1 AS pos, note_type, start_beat, duration, pitch, syllable FROM p""",
 )
 def _(spark, sf):
@@ -157,8 +157,8 @@ def _(spark, sf):
     kp AS (SELECT song, line, pos AS o, -1 AS sub, note_type, start_beat, duration, pitch, syllable, FALSE AS c FROM li WHERE note_type = '-' OR (song, line) NOT IN (SELECT (song, line) FROM tg)),
     al AS (SELECT * FROM kp UNION ALL SELECT * FROM cp),
     en AS (SELECT song, line, max(start_beat + duration) AS z, arg_min(start_beat, o * 100000 + sub) AS a, bool_or(c) AS c FROM al WHERE note_type <> '-' GROUP BY song, line),
-    fl AS (SELECT song, line, c AND coalesce(z > lead(a) OVER (PARTITION BY song ORDER BY line), FALSE) AS overlaps FROM en)
-    SELECT al.song, row_number() OVER (PARTITION BY al.song ORDER BY o, sub) - 1 AS pos, note_type, start_beat, duration, pitch, syllable, coalesce(overlaps, FALSE) AS overlaps FROM al LEFT JOIN fl ON fl.song = al.song AND fl.line = al.line""",
+    fl AS (SELECT song, line, c AND coalesce(z > lead(a) OVER (PARTITION BY song ORDER BY line), FALSE) AS too_long FROM en)
+    SELECT al.song, row_number() OVER (PARTITION BY al.song ORDER BY o, sub) - 1 AS pos, note_type, start_beat, duration, pitch, syllable, coalesce(too_long, FALSE) AS too_long FROM al LEFT JOIN fl ON fl.song = al.song AND fl.line = al.line""",
 )
 def _(spark, sf):
     chart = roles.chart(spark, sf)
@@ -166,4 +166,4 @@ def _(spark, sf):
     keys = lined.groupBy("song", "line_no").agg((F.min_by("pitch", "pos") % 6).alias("line_key"))
     sources = keys.where("line_no % 5 = 1").select("song", "line_no")
     out = E.copy_to_repeats(chart, sources, keys, KEYS, POS)
-    return out.select(*[c.strip() for c in _ALL.split(",")], "overlaps")
+    return out.select(*[c.strip() for c in _ALL.split(",")], "too_long")
