@@ -14,6 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
+def task_count(df: DataFrame) -> int:
+    """Number of tasks for Python work, which small byte sizes must not shrink to one."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def ordered_fold(
     df: DataFrame,
     keys: Sequence[str],
@@ -46,5 +51,5 @@ def ordered_fold(
             if tail:
                 yield pd.DataFrame(tail, columns=columns)
 
-    sorted_rows = df.repartition(*names).sortWithinPartitions(*names, *order)
+    sorted_rows = df.repartition(task_count(df), *names).sortWithinPartitions(*names, *order)
     return sorted_rows.mapInPandas(run, schema)

@@ -1,3 +1,3 @@
 """Queries over the given tables."""
 
-MODULES = ["scalars", "files", "statistics", "pairing", "sequences", "editing", "alignments"]
+MODULES = ["scalars", "files", "statistics", "pairing", "sequences", "editing", "alignments", "spectra", "feeds"]
