@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def task_count(df: DataFrame) -> int:
@@ -19,6 +20,15 @@ def task_count(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash the keys to the tasks of a Python step.
+
+    Hashing a hash keeps Spark from reusing, and AQE from merging, the partitions
+    of the step before, whose bytes say little about the work to come.
+    """
+    return df.repartition(task_count(df), F.xxhash64(*keys))
+
+
 def ordered_fold(
     df: DataFrame,
     keys: Sequence[str],
@@ -51,5 +61,5 @@ def ordered_fold(
             if tail:
                 yield pd.DataFrame(tail, columns=columns)
 
-    sorted_rows = df.repartition(task_count(df), *names).sortWithinPartitions(*names, *order)
+    sorted_rows = spread(df, names).sortWithinPartitions(*names, *order)
     return sorted_rows.mapInPandas(run, schema)

@@ -126,7 +126,8 @@ def quiet_runs(
     ``timeout_ms`` ends at its last frame. The state holds the rows still inside
     the watermark and the open run.
     """
-    rows = stream.withWatermark(at, delay).where(F.col(key).isNotNull()).select(
+    # No filter here: Spark would move it below the watermark, which must see ticks.
+    rows = stream.withWatermark(at, delay).select(
         key, at, (F.unix_micros(at) / F.lit(1e6)).alias("t"), F.col(level).cast("double").alias("x")
     )
     types = dict(rows.dtypes)
@@ -159,7 +160,8 @@ def quiet_runs(
             state.setTimeoutTimestamp(int(max(due, mark) * 1000) + 1)
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=[key, "start", "end", "frames"])
+        if out:
+            yield pd.DataFrame(out, columns=[key, "start", "end", "frames"])
 
     return rows.groupBy(key).applyInPandasWithState(
         step,
