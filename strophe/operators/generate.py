@@ -163,13 +163,14 @@ def generate(
     line_no, line)`` the repeated section is put into the header as well.
     """
     keys = list(keys)
+    syllables = stage(syllables)
     first = song_anchors(syllables, keys, ordinal)
     headed = songs.join(first, keys).withColumn("bpm", F.col("bpm") * multiplier)
     headed = headed.withColumn(
         "gap", anchor_gap(F.col("first_note_ms"), F.col("first_beat_ms"), F.col("bpm"), lead_in_ms)
     )
     headed = stage(headed)
-    timed = stage(syllables.join(headed.select(*keys, "bpm", "gap"), keys))
+    timed = syllables.join(headed.select(*keys, "bpm", "gap"), keys)
     notes = stage(notes_on_grid(timed, keys, ordinal, F.col("bpm"), F.col("gap")))
     if lyric_lines is None:
         sung_start = F.when(F.col("note_type") != "-", F.col(ordinal))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strophe.functions.music import midi_to_hz
+from strophe.functions.text import let
 from strophe.operators.scan import halo
 
 BAND_LOW, BAND_HIGH, BAND_FRAME = 60.0, 4000.0, 1024
@@ -208,9 +209,11 @@ def octave_fold(
             part = F.slice(mags, first + 1, last - first)
         else:
             table = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(w).alias("w")) for i, j, w in edges])
-            at = F.transform(table, lambda e: mags[e["i"]] * (1.0 - e["w"]) + mags[e["j"]] * e["w"])
-            part = F.zip_with(
-                F.slice(at, 2, cells), F.slice(at, 1, cells), lambda b, a: F.greatest(F.lit(0.0), b - a)
+            part = let(
+                F.transform(table, lambda e: mags[e["i"]] * (1.0 - e["w"]) + mags[e["j"]] * e["w"]),
+                lambda at: F.zip_with(
+                    F.slice(at, 2, cells), F.slice(at, 1, cells), lambda b, a: F.greatest(F.lit(0.0), b - a)
+                ),
             )
         total = part if total is None else F.zip_with(total, part, lambda a, b: a + b)
     rows = spec.select(*keys, "frame_no", F.posexplode(total).alias("cell", "level"))

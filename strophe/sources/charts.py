@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.functions.text import SPACE, strip
+from strophe.functions.text import SPACE, let, strip
 
 # The line formats of a chart.
 NOTE_LINE = r"(?s)^\s*([:*F])\s+(-?\d+)\s+(\d+)\s+(-?\d+)(?: (.*))?$"
@@ -65,11 +65,6 @@ def text_lines(text: Column) -> Column:
 MARK = "\x01"
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _fields(x: Column, pattern: str, groups: int) -> Column:
     """The groups of a match as an array with one empty cell in front, null without a match."""
     shown = "".join(f"{MARK}${g}" for g in range(1, groups + 1))
@@ -214,14 +209,21 @@ def header_tags(text: Column) -> Column:
     )
     entries = F.transform(
         heads,
-        lambda x: F.struct(
-            F.upper(F.substring(x, F.lit(2), F.locate(":", x) - 2)).alias("k"),
-            strip(F.substring(x, F.locate(":", x) + 1, F.length(x))).alias("v"),
+        lambda x: let(
+            F.locate(":", x),
+            lambda at: F.struct(
+                F.upper(F.substring(x, F.lit(2), at - 2)).alias("k"),
+                strip(F.substring(x, at + 1, F.length(x))).alias("v"),
+            ),
         ),
     )
-    names = F.array_distinct(F.transform(entries, lambda e: e["k"]))
-    values = F.transform(names, lambda k: F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"])
-    return F.map_from_arrays(names, values)
+
+    def last_wins(found: Column) -> Column:
+        names = F.array_distinct(F.transform(found, lambda e: e["k"]))
+        values = F.transform(names, lambda k: F.element_at(F.filter(found, lambda e: e["k"] == k), -1)["v"])
+        return F.map_from_arrays(names, values)
+
+    return let(entries, last_wins)
 
 
 def _number(value: Column) -> Column:
