@@ -116,7 +116,7 @@ def notes_on_grid(
     sung = ~F.col("is_break")
     raw = music.ms_to_beats("start_ms", bpm, gap)
     placed = quantize_unique(syllables, keys, ordinal, raw, sung, "_start")
-    placed = placed.withColumn("_end", F.when(sung, music.ms_to_beats("end_ms", bpm, gap)))
+    placed = stage(placed.withColumn("_end", F.when(sung, music.ms_to_beats("end_ms", bpm, gap))))
     around = scan(
         placed,
         keys,
