@@ -96,8 +96,9 @@ def place_breaks_between(notes: DataFrame, keys: Sequence[str], ordinal: str) ->
         _pe=prev_seen(F.when(sung, F.col("start_beat") + F.col("duration"))),
         _ns=next_seen(F.when(sung, F.col("start_beat"))),
     )
-    moved = F.coalesce(break_beat(F.col("_pe"), F.col("_ns")), F.col("start_beat"))
-    return out.withColumn("start_beat", F.when(sung, F.col("start_beat")).otherwise(moved)).drop("_pe", "_ns")
+    inner = ~sung & F.col("_pe").isNotNull() & F.col("_ns").isNotNull()
+    moved = F.when(inner, break_beat(F.col("_pe"), F.col("_ns"))).otherwise(F.col("start_beat"))
+    return out.withColumn("start_beat", moved).drop("_pe", "_ns")
 
 
 def notes_on_grid(
