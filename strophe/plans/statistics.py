@@ -259,7 +259,7 @@ def _(spark, sf):
 @query(
     "verse_summary",
     "WITH " + roles.CHART_SQL + """,
-    k AS (SELECT *, pos // 5 AS verse, (pitch % 10) / 10.0::DOUBLE AS conf FROM chart WHERE note_type <> '-')
+    k AS (SELECT *, pos // 5 AS verse, (pitch % 8) / 8.0::DOUBLE AS conf FROM chart WHERE note_type <> '-')
     SELECT song, verse, count(*) AS notes, max(start_beat + duration) - min(start_beat) AS span, min(pitch) AS low, max(pitch) AS high, round(avg(conf), 6) AS mean_confidence
     FROM k GROUP BY ROLLUP (song, verse) HAVING song IS NOT NULL""",
 )
@@ -267,7 +267,7 @@ def _(spark, sf):
     rows = roles.chart(spark, sf).where("note_type <> '-'").select(
         "song", F.floor(F.col("pos") / 5).alias("verse"), "start_beat",
         (F.col("start_beat") + F.col("duration")).alias("end_beat"), "pitch",
-        ((F.col("pitch") % 10) / F.lit(10.0)).alias("conf"),
+        ((F.col("pitch") % 8) / F.lit(8.0)).alias("conf"),
     )
     out = S.verse_summary(rows, ["song"], "verse", "start_beat", "end_beat", "pitch", "conf")
     return out.withColumn("mean_confidence", F.round("mean_confidence", 6))
