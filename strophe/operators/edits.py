@@ -24,6 +24,7 @@ from strophe.operators.scan import (
     run_sum,
     scan,
 )
+from strophe.session import stage
 
 FILLER = "~"
 NEW_LINE_TEXT = "New Line"
@@ -193,8 +194,7 @@ def edit_lines(notes: DataFrame, edits: DataFrame, keys: Sequence[str], ordinal:
     the first line goes with the break after it.
     """
     keys = list(keys)
-    lined = line_numbers(notes, keys, ordinal)
-    rows = lined.join(edits, [*keys, "line_no"], "left")
+    rows = stage(line_numbers(notes, keys, ordinal).join(edits, [*keys, "line_no"], "left"))
     removed = F.col("op") == "remove"
     # A break carries the number of the line it opens. When the first line goes,
     # the next break that stays would open the chart, so it goes as well.
@@ -229,7 +229,8 @@ def copy_to_repeats(
     copied line that now ends after the next line's first note.
     """
     keys = list(keys)
-    lined = line_numbers(notes, keys, ordinal)
+    lined = stage(line_numbers(notes, keys, ordinal))
+    line_keys = stage(line_keys)
     sung = lined.where(_sung())
     source = sources.join(line_keys, [*keys, "line_no"]).groupBy(*keys, "line_key").agg(
         F.min("line_no").alias("_src")
@@ -250,7 +251,7 @@ def copy_to_repeats(
     kept = lined.join(replaced, [*keys, "line_no"], "left").where(F.col("_gone").isNull() | ~_sung()).select(
         *keys, "line_no", F.col(ordinal).alias("_o"), F.lit(-1).cast("long").alias("_sub"), *NOTE_FIELDS, F.lit(False).alias("_copied")
     )
-    rows = kept.unionByName(copies)
+    rows = stage(kept.unionByName(copies))
     ends = rows.where(_sung()).groupBy(*keys, "line_no").agg(
         F.max(F.col("start_beat") + F.col("duration")).alias("_end"), F.min_by("start_beat", F.struct("_o", "_sub")).alias("_start"),
         F.bool_or("_copied").alias("_cp"),

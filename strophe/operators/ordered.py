@@ -23,6 +23,7 @@ from strophe.operators.scan import (
     run_sum,
     scan,
 )
+from strophe.session import stage
 
 VERSE_GAP = 2.0
 SILENCE_RATIO, SILENCE_FLOOR = 0.05, 1e-6
@@ -581,6 +582,7 @@ def pause_chunks(
     ``songs`` has a duration; ``words`` the region of each word.
     """
     keys = list(keys)
+    words = stage(words)
     per = words.groupBy(*keys, region).agg(
         F.count(F.lit(1)).alias("_n"), F.min(ordinal).alias("_f"), F.max(ordinal).alias("_l")
     )
@@ -595,7 +597,7 @@ def pause_chunks(
     length = F.col("_to") - F.col("_from")
     dense = F.coalesce((length > 0) & (F.col("_n") / length > F.lit(densest)), F.lit(False))
     chunked = scan(
-        spans.withColumn("_dense", dense), keys, [region], ordinal_block(region),
+        stage(spans.withColumn("_dense", dense)), keys, [region], ordinal_block(region),
         _c=run_count(~F.col("_dense")), _pos=position(),
     )
     # A dense first stretch has nothing before it and opens a chunk of its own.

@@ -11,8 +11,15 @@ from strophe.operators.quantiles import linear, nearest_rank, quantiles
 from strophe.plans import roles
 from strophe.plans.registry import query, table
 
-MIDI_BLOCK = F.lit(0).cast("long")  # at most 128 distinct pitches
-SMALL = lambda c: F.floor(F.col(c) / 1024)
+
+def one_block():
+    """A single block: there are at most 128 distinct pitches to rank."""
+    return F.lit(0).cast("long")
+
+
+def thousands(name):
+    """Blocks of 1024 consecutive numbers."""
+    return F.floor(F.col(name) / 1024)
 
 
 @query(
@@ -25,7 +32,7 @@ SMALL = lambda c: F.floor(F.col(c) / 1024)
 )
 def _(spark, sf):
     rows = roles.frames(spark, sf)
-    med = S.ladder_median(rows, ["song", "kind"], "midi", "conf", block=MIDI_BLOCK)
+    med = S.ladder_median(rows, ["song", "kind"], "midi", "conf", block=one_block())
     groups = rows.select("song", "kind").distinct()
     return groups.join(med, ["song", "kind"], "left").select(
         "song", "kind", F.coalesce(F.rint("median").cast("long"), F.lit(60).cast("long")).alias("midi"),
@@ -51,7 +58,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return S.int_median(
-        table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_partkey", SMALL("l_partkey")
+        table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_partkey", thousands("l_partkey")
     )
 
 

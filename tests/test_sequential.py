@@ -335,3 +335,144 @@ def test_band_energy_of_a_burst(spark):
     out = X.band_energy(df, ["song"], "chunk", "x", 4000, 16000.0, 160).collect()
     assert sorted(r.frame_no for r in out) == list(range(1 + 32000 // 160))
     assert sorted(r.frame_no for r in out if r.energy > 0) == list(range(97, 108))
+
+
+def consensus_by_loops(runs):
+    """Votes per word of the longest run, with the alignment written out."""
+    from statistics import median
+
+    from test_alignment_kernel import by_cells, word_by_letters
+
+    ref = max(range(len(runs)), key=lambda i: len(runs[i]))
+    columns = [[w] for w in runs[ref]]
+    for k, run in enumerate(runs):
+        if k == ref:
+            continue
+        steps = by_cells([w[0] for w in runs[ref]], [w[0] for w in run], word_by_letters)
+        for i, j, kind in steps:
+            if kind == 1:
+                columns[i - 1].append(run[j - 1])
+    voted, timed = [], []
+    for column, own in zip(columns, runs[ref]):
+        words = [w[0] for w in column]
+        winner = min(words, key=lambda w: (-words.count(w), words.index(w)))
+        mid = median((w[1] + w[2]) / 2 for w in column if w[0] == winner)
+        rows = [(k, w) for k, w in enumerate(column) if w[0] == winner]
+        voted.append(
+            min(rows, key=lambda x: (1.0 if x[1][3] is None else -x[1][3], abs((x[1][1] + x[1][2]) / 2 - mid), x[0]))[1][:3]
+        )
+        same = [w for w in column if w[0] == own[0]] or column
+        ms, me = median(w[1] for w in same), median(w[2] for w in same)
+        timed.append(min(same, key=lambda w: (abs(w[1] - ms) + abs(w[2] - me), 1.0 if w[3] is None else -w[3]))[:3])
+    return voted, timed
+
+
+def test_consensus_equals_loops(spark):
+    rng = random.Random(11)
+    songs, rows = {}, []
+    for song in range(12):
+        base = [rng.choice(["hello", "world", "again", "sea", "see", "moon"]) for _ in range(rng.randrange(4, 14))]
+        runs = []
+        for r in range(rng.randrange(2, 5)):
+            run = []
+            for k, w in enumerate(base):
+                if rng.random() < 0.15:
+                    continue
+                w = rng.choice(["hallo", "word", "sun"]) if rng.random() < 0.25 else w
+                # Eighths keep sums and halves exact.
+                start = k + rng.randrange(8) / 8
+                run.append((w, start, start + 0.5, rng.choice([None, 0.25, 0.5, 0.75])))
+            runs.append(run or [("x", 0.0, 0.5, None)])
+        songs[song] = runs
+        rows += [(song, r, k, *w) for r, run in enumerate(runs) for k, w in enumerate(run)]
+    df = frame(spark, rows, "song long, run long, pos long, word string, start double, end double, score double")
+    voted = C.consensus_runs(df, ["song"], "run", "pos", "word").orderBy("song", "ref_pos").collect()
+    timed = C.consensus_timing(df, ["song"], "run", "pos", "word").orderBy("song", "ref_pos").collect()
+    for song, runs in songs.items():
+        want = consensus_by_loops(runs)
+        assert [(r.word, r.start, r.end) for r in voted if r.song == song] == want[0]
+        assert [(r.word, r.start, r.end) for r in timed if r.song == song] == want[1]
+
+
+def place_by_loops(lyric, heard):
+    """Rough times of lyric words, step by step; heard words are (word, start, end)."""
+    from test_alignment_kernel import A, by_cells
+
+    def spell(words):
+        out = []
+        for k, w in enumerate(words):
+            out += [(c, k) for c in w] + ([(" ", k)] if k < len(words) - 1 else [])
+        return out
+
+    a, b = spell(lyric), spell([w for w, _, _ in heard])
+    seen = [set() for _ in lyric]
+    for i, j, kind in by_cells([c for c, _ in a], [c for c, _ in b], A.pair_score):
+        if kind == 1 and a[i - 1][0] != " " and b[j - 1][0] != " ":
+            seen[a[i - 1][1]].add(b[j - 1][1])
+    span = [(min(heard[t][1] for t in s), max(heard[t][2] for t in s)) if s else None for s in seen]
+    k = 0
+    while k < len(lyric):
+        e = k + 1
+        while seen[k] and e < len(lyric) and seen[e] == seen[k]:
+            e += 1
+        if e - k > 1:
+            lo, hi = min(span[x][0] for x in range(k, e)), max(span[x][1] for x in range(k, e))
+            total, done = sum(len(lyric[x]) for x in range(k, e)), 0
+            for x in range(k, e):
+                span[x] = (lo + (hi - lo) * done / total, lo + (hi - lo) * (done + len(lyric[x])) / total)
+                done += len(lyric[x])
+        k = e
+    hits = [x for x, s in enumerate(span) if s]
+    first_time, last_time = heard[0][1], heard[-1][2]
+    if not hits:
+        slot = max(0.01, (last_time - first_time) / len(lyric))
+        span = [(first_time + x * slot, first_time + (x + 1) * slot) for x in range(len(lyric))]
+    else:
+        f, last = hits[0], hits[-1]
+        slot = max(0.01, (span[f][0] - first_time) / f) if f else 0
+        for x in range(f):
+            span[x] = (first_time + x * slot, first_time + (x + 1) * slot)
+        for p, q in zip(hits, hits[1:]):
+            if q - p > 1:
+                slot = max(0.01, (span[q][0] - span[p][1]) / (q - p - 1))
+                for o in range(1, q - p):
+                    span[p + o] = (span[p][1] + (o - 1) * slot, min(span[q][0], span[p][1] + o * slot))
+        left = len(lyric) - last - 1
+        slot = max(0.01, (last_time - span[last][1]) / left) if left else 0
+        for o in range(1, left + 1):
+            span[last + o] = (span[last][1] + (o - 1) * slot, span[last][1] + o * slot)
+    out, top = [], 0.0
+    for s, e in span:
+        s = max(0.0, s)
+        e = max(s, e)
+        top = max(top, (s + e) / 2)
+        out.append((round(max(0.0, top - (e - s) / 2), 6), round(top + (e - s) / 2, 6)))
+    return out
+
+
+def test_rough_placement_equals_loops(spark):
+    rng = random.Random(12)
+    vocabulary = ["love", "me", "do", "river", "night", "so", "golden", "sky"]
+    lyrics, said, want = [], [], {}
+    for song in range(15):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(1, 12))]
+        heard, at = [], 0.5
+        for w in words:
+            roll = rng.random()
+            if roll < 0.2:
+                continue
+            if roll < 0.35 and heard:
+                heard[-1] = (heard[-1][0] + w, heard[-1][1], heard[-1][2] + 0.5)
+            else:
+                heard.append((rng.choice(vocabulary) if roll > 0.85 else w, at, at + 0.5))
+            at += rng.choice([0.5, 1.0, 3.0])
+        heard = heard or [("zzz", 1.0, 2.0)]
+        lyrics += [(song, k, w) for k, w in enumerate(words)]
+        said += [(song, k, *h) for k, h in enumerate(heard)]
+        want[song] = place_by_loops(words, heard)
+    out = P.approx_place(
+        frame(spark, lyrics, "song long, pos long, word string"),
+        frame(spark, said, "song long, pos long, word string, start double, end double"), ["song"],
+    ).orderBy("song", "pos").collect()
+    for song in want:
+        assert [(round(r.start, 6), round(r.end, 6)) for r in out if r.song == song] == want[song]
