@@ -7,12 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.llm import exact, mixing, packing, simhash
+from strophe.llm import exact, langid, mixing, packing, simhash
 from strophe.llm.common import table
 from strophe.llm.queries import tokenizer_file
 from strophe.session import stage
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in some language; those without any letter (``und``) go."""
+    return langid.detect(docs).where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact.keep_one(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: shingles of five words, similarity 0.8 or more."""
+    return simhash.keep_one(docs)
+
+
+def mixing_of_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated so that a source's share follows the square root of its size, and shuffled."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def token_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids placed in sequences of 2048."""
+    return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), with_ids=True)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", language),
+    ("exact dedup", exact_dedup),
+    ("SimHash near-dedup", near_dedup),
+    ("mixing", mixing_of_sources),
+    ("packing", token_packing),
+]
 ORACLE_SQL = None  # tokenizers and classifiers are beyond SQL; tests compare the stages with brute force
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.llm import exact, mixing, packing, planes, sharding, simhash, vectors
+from strophe.llm import exact, langid, mixing, packing, passages, planes, quality, sharding, simhash, vectors
 from strophe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,12 +45,32 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    found = langid.detect(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 @_query
 def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate links and components of all embeddings."""
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@_query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    found = quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+@_query
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that documents share."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written to plane files and read back."""

@@ -2,14 +2,15 @@
 
 Two fingerprints of 64 bits that differ in at most four bits agree in at least
 two of any six blocks of bits. So each distinct fingerprint goes to fifteen cells,
-one for each two blocks, and every link lies whole in some cell. In a cell the
+one for each two blocks, and every link lies whole in some cell (for another limit
+of n bits: n + 2 blocks). In a cell the
 fingerprints are sorted by Gray rank, where neighbours share long patterns; groups
 of neighbours become nodes that hold the bits all below them share, nodes of nodes
 likewise, each holding only what its parent does not. A search adds up the
 differences from the root down and leaves a whole group once they pass the limit,
 or once the group is known to be in the searcher's component already.
 
-A cell with more fingerprints than ``cell_rows`` is divided anew by two of six
+A cell with more fingerprints than ``cell_rows`` is divided anew by two
 blocks of its free bits, so that no task holds an unbounded cell, and no link is
 lost. Cells give a star for each component, not its pairs.
 """
@@ -31,6 +32,7 @@ from strophe.session import stage
 
 FAN = 16  # fingerprints in a leaf, nodes in a node
 CELL_ROWS = 1 << 16
+SMALL_BITS = 16  # a cell with so few free bits has at most 2**16 fingerprints
 QUERIES = 2048  # fingerprints searched at once
 
 
@@ -65,10 +67,10 @@ def fingerprints(docs: DataFrame, doc_id: str, text: str, words: int = 4) -> Dat
     return source.mapInArrow(take, "doc_id long, fp long")
 
 
-def finer_masks(mask: int, width: int = 64) -> list[int]:
-    """The masks that add two of six blocks of the free bits to ``mask`` (signed 64-bit numbers)."""
-    free = [i for i in range(width) if not mask >> i & 1]
-    blocks = [sum(1 << i for i in part.tolist()) for part in np.array_split(free, 6)]
+def finer_masks(mask: int, limit: int) -> list[int]:
+    """The masks that add two of ``limit + 2`` blocks of the free bits to ``mask`` (signed 64-bit numbers)."""
+    free = [i for i in range(64) if not mask >> i & 1]
+    blocks = [sum(1 << i for i in part.tolist()) for part in np.array_split(free, limit + 2)]
     out = [(mask & (1 << 64) - 1) | a | b for a, b in combinations(blocks, 2)]
     return [m - (1 << 64) if m >> 63 else m for m in out]
 
@@ -197,33 +199,31 @@ def _cell_edges(cells: DataFrame, limit: int) -> DataFrame:
 
 
 def near_links(nodes: DataFrame, limit: int = 4, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Edges (a, b) that connect all fingerprints (column fp, distinct) at most ``limit`` <= 4 bits apart.
+    """Edges (a, b) that connect all fingerprints (column fp, distinct) at most ``limit`` bits apart.
 
-    The edges of a cell are stars, so there are at most fifteen for a fingerprint
-    and none for most; their components are those of all links.
+    The edges of a cell are stars, so there are at most as many for a fingerprint
+    as it has cells, and none for most; their components are those of all links.
     """
-    if limit > 4:
-        raise ValueError("two of six blocks only meet for up to four differing bits")
     spark = nodes.sparkSession
-    masks = [(0, m) for m in finer_masks(0)]
+    masks = [(0, m) for m in finer_masks(0, limit)]
     rows = nodes.select("fp", F.lit(0).cast("long").alias("mask"))
     found = None
     while True:
         table = spark.createDataFrame(masks, "mask long, finer long").coalesce(1)
         cells = (
-            rows.join(F.broadcast(table), "mask")  # 15 rows for each mask of an overfull cell, 15**3 at most
+            rows.join(F.broadcast(table), "mask")  # a row for each two blocks of each overfull mask
             .select("fp", F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("key"))
         )
         over = stage(cells.groupBy("mask", "key").count().where(F.col("count") > cell_rows).drop("count"))
         full = [r.mask for r in over.select("mask").distinct().collect()]  # as many as there are masks
         free = 64 - min((bin(m & (1 << 64) - 1).count("1") for m in full), default=64)
-        if not full or free < 12:  # with so few free bits a cell is small by itself
+        if not full or free <= SMALL_BITS:  # with so few free bits a cell is small by itself
             edges = _cell_edges(cells, limit)
             return edges if found is None else found.union(edges)
         edges = _cell_edges(cells.join(over, ["mask", "key"], "left_anti"), limit)
         found = edges if found is None else found.union(edges)
         rows = stage(cells.join(over, ["mask", "key"], "left_semi").select("fp", "mask").distinct())
-        masks = [(m, f) for m in full for f in finer_masks(m)]
+        masks = [(m, f) for m in full for f in finer_masks(m, limit)]
 
 
 def near_groups(
@@ -253,3 +253,51 @@ def near_groups(
     return fps.join(by_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def resemblance(a: bytes, b: bytes, words: int) -> float:
+    """Jaccard similarity of the sets of word shingles of two texts (1 if neither has a word)."""
+    sets = []
+    for text in (a, b):
+        parts = text.lower().split()
+        sets.append({tuple(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def keep_one(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    words: int = 5,
+    limit: int = 6,
+    similarity: float = 0.8,
+    cell_rows: int = CELL_ROWS,
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns as they are, less near copies of a row that stays.
+
+    Groups are those of ``near_groups``; the row with the smallest id of a group
+    stays (null ids last, then the first read), and a row goes if its word shingles
+    resemble that row's by ``similarity`` or more, so that a chance meeting of
+    fingerprints or a long chain of small changes drops nothing unlike what stays.
+    """
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
+    base = stage(docs.select(own.alias("row"), F.col(doc_id).cast("long").alias("id"), body.alias("body"),
+                             F.monotonically_increasing_id().alias("place")))
+    groups = near_groups(base, "place", "body", words, limit, cell_rows)
+    placed = base.select("place", "id").join(groups.withColumnRenamed("doc_id", "place"), "place")
+    order = F.struct(F.col("id").isNull(), "id", "place")
+    heads = placed.groupBy("component_id").agg(F.min_by("place", order).alias("head"), F.count("*").alias("n"))
+    grouped = placed.join(heads.where("n > 1"), "component_id").select("place", "head")
+    texts = stage(base.select("place", "body").join(grouped, "place"))
+    first = texts.where("place = head").select("head", F.col("body").alias("other"))
+    pairs = texts.where("place <> head").join(first, "head").select("place", "body", "other")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = batch.column(1), batch.column(2)
+            near = [resemblance(a.as_py(), b.as_py(), words) >= similarity for a, b in zip(one, two, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near, pa.bool_()))], names=["place"])
+
+    gone = stage(pairs.mapInArrow(alike, "place long"))
+    return base.join(gone, "place", "left_anti").select("row.*")

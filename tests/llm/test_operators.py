@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strophe.llm import exact, mixing, packing, planes, sharding, simhash, token_ids, vectors
+from strophe.llm import exact, langid, mixing, packing, passages, planes, quality, sharding, simhash, token_ids, vectors
 from strophe.llm.common import merge, prepare
 from strophe.llm.components import components
 
@@ -182,6 +182,25 @@ def test_dense_cells_are_divided(session):
     assert [fps.index(m) for m in mine] == want
 
 
+def test_near_copies_of_a_kept_row_go(session):
+    rng = random.Random(12)
+    base = [" ".join(f"w{rng.randint(0, 999)}" for _ in range(300)) for _ in range(12)]
+    rows = [(i, t, i, "x") for i, t in enumerate(base)]
+    for i in range(40):
+        words = base[i % 4].split()
+        words[rng.randrange(300)] = "other"
+        rows.append((100 + i, " ".join(words), 0, None))
+    rows += [(None, base[0], 1, "x"), (None, None, 2, "y"), (500, "", 2, "y"), (0, base[0], 7, "x")]
+    df = session.createDataFrame(rows, "doc_id long, text string, place long, head string")
+    left = simhash.keep_one(df)
+    got = left.collect()
+    assert left.columns == df.columns
+    assert {r.doc_id for r in got if r.doc_id is not None} >= {*range(12), 500}
+    assert sum(1 for r in got if r.text in base) == 12 and sum(1 for r in got if not r.text) == 1
+    assert len(got) < 12 + 1 + 8
+    assert simhash.keep_one(df.limit(0)).count() == 0
+
+
 def test_components(session):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 102), (102, 100), (7, 7), (None, 3), (200, 100), (300, 301)]
     got = {r.node: r.root for r in components(session.createDataFrame(edges, "a long, b long")).collect()}
@@ -385,3 +404,122 @@ def test_sharding(docs, empty, session, monkeypatch):
             sums[sum(k >= e for e in ends)] += w
         assert max(sums.values()) == capacity and max(sums) < 5
     assert sharding.shard_by_bytes(empty).count() == 0
+
+
+def test_language(session, empty):
+    rng = random.Random(9)
+    parts = {"en": "the ing th sh ed", "de": "sch ung der ich ei", "fr": "eau ou le que ment", "es": "ción os que llo ar"}
+    rows = []
+    for i in range(400):
+        lang = rng.choice(list(parts))
+        rows.append((i, " ".join("".join(rng.choices(parts[lang].split(), k=3)) for _ in range(rng.randint(5, 60))), lang))
+    rows += [(900, None, "en"), (901, "", None), (902, "123 !!", "en"), (None, "the thing", "en"), (903, "thing " * 99999, None)]
+    df = session.createDataFrame([(*r, 0.5, "x") for r in rows], "doc_id long, text string, lang string, score double, row string")
+    got = langid.detect(df).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    assert all((r.lang_pred == "und") == (not langid.has_letter(r.text)) for r in got)
+    assert all(r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    assert np.mean([r.lang == r.lang_pred for r in got if r.held_out and r.doc_id is not None and r.doc_id < 900]) > 0.97
+    assert langid.detect(empty).count() == 0
+    assert {r.lang_pred for r in langid.detect(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_quality(session, empty):
+    rng = random.Random(7)
+    rows, marks = [], []
+    for i in range(600):
+        good = rng.random() < 0.8
+        words = [rng.choice(["lorem", "ipsum", "dolor", "sit", "amet"]) for _ in range(rng.randint(5, 400))]
+        if not good:  # one bad passage in a long text
+            at = rng.randrange(len(words))
+            words[at : at + 1] = ["### $$$ 99"] * 30
+        rows.append((i, " ".join(words), "x", 1))
+        if i % 5:
+            marks.append((i, int(good), None))
+    truth = {i: q for i, q, _ in marks}
+    rows += [(900, None, None, None), (901, "", "x", 1), (None, "lorem", "x", 1), (902, "ipsum " * 99999, "x", 1)]
+    marks += [(None, 1, 0), (3, 1 - truth.get(3, 0), 1), (4, None, 0), (77777, 1, 1)]
+    docs = session.createDataFrame(rows, "doc_id long, text string, row string, score int")
+    labels = session.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = quality.rate(docs, labels).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    held = [(truth[r.doc_id], r.score) for r in got if r.held_out and r.doc_id in truth]
+    assert np.mean([a > b for y, a in held if y for z, b in held if not z]) > 0.95
+    assert {r.score for r in quality.rate(docs, labels.limit(0)).collect()} == {0.5}
+    assert quality.rate(empty, labels).count() == 0
+
+
+def test_attention_gradients_and_running_sums():
+    rng = np.random.default_rng(1)
+    model = quality.Model(np.zeros(quality.WIDTH), np.ones(quality.WIDTH))
+    x, first, y, weight = rng.standard_normal((7, quality.WIDTH)), np.array([0, 3, 4]), np.array([1, 0, 1]), np.array([1.0, 2.0, 0.5])
+
+    def loss():
+        prob = model.gradients(x, first, y, weight)[1]
+        return -(weight * (y * np.log(prob) + (1 - y) * np.log(1 - prob))).sum()
+
+    grads = model.gradients(x, first, y, weight)[0]
+    for name, p in model.p.items():
+        at = tuple(0 for _ in p.shape)
+        p[at] += 1e-5
+        up = loss()
+        p[at] -= 2e-5
+        slope = (up - loss()) / 2e-5
+        p[at] += 1e-5
+        assert abs(slope - grads[name][at]) < 1e-6
+    body = rng.integers(32, 123, 3 * quality.WINDOW // 2 + 17, dtype=np.uint8).tobytes()
+    whole = np.concatenate(list(quality.passages(body)))
+    assert abs(model.score(body) - model.gradients(whole, np.array([0]), np.array([1]), np.ones(1))[1][0]) < 1e-9
+
+
+def test_repeated_passages(session, empty):
+    rng = random.Random(5)
+    fresh = lambda n: [f"w{rng.randint(0, 10**7)}" for _ in range(n)]
+    shared = {"a": fresh(80), "b": fresh(60), "c": fresh(30)}
+    want, rows = set(), []
+    for i in range(40):
+        words = fresh(rng.randint(0, 300))
+        for name in rng.choice(["", "", "a", "b", "ab", "c"]):
+            copy = [w.upper() if rng.random() < 0.3 else w for w in shared[name]]
+            for _ in range(rng.randint(0, 1)):  # a change, also of length
+                at = rng.randrange(len(copy))
+                copy[at : at + 1] = rng.choice([[], fresh(1), fresh(2)])
+            words += copy + fresh(rng.randint(0, 9))
+            if name != "c":
+                want.add((i, name))
+        rows.append((i, " ".join(words), "x", 0))
+    rows += [(100, None, "x", 0), (101, "", None, None), (None, rows[0][1], "x", 0), (102, rows[1][1], "x", 0), (102, rows[1][1], "x", 0)]
+    rows.append((103, "same words again " * 5000, "x", 0))
+    df = session.createDataFrame(rows, "doc_id long, text string, pair string, start int").repartition(3)
+    got = passages.repeated_passages(df).collect()
+    texts = {r[0]: passages.split((r[1] or "").encode()) for r in rows}
+    for r in got:
+        one, two = (texts[i][s : s + n] for i, s, n in ((r.doc_id, r.start, r.words), (r.other_id, r.other_start, r.other_words)))
+        assert max(len(one), len(two)) >= 50 and r.equal_words >= 0.8 * max(len(one), len(two))
+        assert sum((Counter(one) & Counter(two)).values()) >= r.equal_words
+    found = {r.doc_id for r in got} | {r.other_id for r in got}
+    per = Counter(name for _, name in want)
+    assert {i for i, name in want if per[name] > 1} <= found
+    clean = {i for i in range(40) if not any((i, n) in want for n in "ab")} - {0, 1}
+    assert not clean & found and not {100, 101, 103} & found and {None, 102, 0, 1} <= found
+    assert passages.repeated_passages(empty).count() == 0
+
+
+def test_chains_are_the_best_by_enumeration():
+    rng = random.Random(2)
+    for _ in range(60):
+        n = rng.randint(2, 9)
+        spots = sorted((rng.randint(0, 30), rng.randint(0, 30)) for _ in range(n))
+        xs, ys = [p for p, _ in spots], [q for _, q in spots]
+
+        def worth(path):
+            return len(path) - 0.02 * sum(xs[b] - xs[a] + ys[b] - ys[a] for a, b in zip(path, path[1:]))
+
+        paths = [p for k in range(2, n + 1) for p in combinations(range(n), k)
+                 if all(xs[a] < xs[b] and ys[a] < ys[b] for a, b in zip(p, p[1:]))]
+        got = passages.chain(xs, ys)
+        if paths:
+            assert abs(worth(got[0]) - max(map(worth, paths))) < 1e-9
+        else:
+            assert got == []
+        assert len({m for p in got for m in p}) == sum(map(len, got))
