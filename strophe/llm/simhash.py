@@ -205,15 +205,10 @@ def near_links(nodes: DataFrame, limit: int = 4, cell_rows: int = CELL_ROWS) ->
     as it has cells, and none for most; their components are those of all links.
     """
     spark = nodes.sparkSession
-    masks = [(0, m) for m in finer_masks(0, limit)]
-    rows = nodes.select("fp", F.lit(0).cast("long").alias("mask"))
-    found = None
+    whole = F.array(*[F.lit(m) for m in finer_masks(0, limit)])
+    cells, found = nodes.select("fp", F.explode(whole).alias("mask")), None
     while True:
-        table = spark.createDataFrame(masks, "mask long, finer long").coalesce(1)
-        cells = (
-            rows.join(F.broadcast(table), "mask")  # a row for each two blocks of each overfull mask
-            .select("fp", F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("key"))
-        )
+        cells = cells.select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
         over = stage(cells.groupBy("mask", "key").count().where(F.col("count") > cell_rows).drop("count"))
         full = [r.mask for r in over.select("mask").distinct().collect()]  # as many as there are masks
         free = 64 - min((bin(m & (1 << 64) - 1).count("1") for m in full), default=64)
@@ -224,6 +219,9 @@ def near_links(nodes: DataFrame, limit: int = 4, cell_rows: int = CELL_ROWS) ->
         found = edges if found is None else found.union(edges)
         rows = stage(cells.join(over, ["mask", "key"], "left_semi").select("fp", "mask").distinct())
         masks = [(m, f) for m in full for f in finer_masks(m, limit)]
+        table = spark.createDataFrame(masks, "mask long, finer long").coalesce(1)
+        # The broadcast table has a row for each two blocks of each overfull mask.
+        cells = rows.join(F.broadcast(table), "mask").select("fp", F.col("finer").alias("mask"))
 
 
 def near_groups(
