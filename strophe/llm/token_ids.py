@@ -25,7 +25,7 @@ _TWICE = re.compile(f"[{_SPACE}][{_SPACE}]")
 
 _BREAK = "<|endoftext|>"
 
-MEMO_UNITS = 500_000
+MEMO_UNITS = 100_000
 WINDOW = 1 << 18  # characters cut into units at once
 
 
@@ -69,17 +69,13 @@ class _Numbers(dict):
 
 
 class Encoder:
-    """Encodes texts; remembers the ids of up to MEMO_UNITS units, then starts anew."""
+    """Encodes texts; remembers the ids of the first MEMO_UNITS units or so that it meets."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.plain, self.broken = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.stop = self.broken.token_to_id(_BREAK)
-        self._forget()
-
-    def _forget(self) -> None:
+        self.tokenizer = Tokenizer.from_file(path)
+        self.stop = self.tokenizer.token_to_id(_BREAK)
         self.at = _Numbers()
         self.size = np.zeros(1 << 12, np.int64)
         self.begin = np.zeros(1 << 12, np.int64)
@@ -89,10 +85,12 @@ class Encoder:
     def _fresh(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the units one after the other, and how many each has."""
         if self.stop is None or any("<|" in u for u in new):
-            got = [e.ids for e in self.plain.encode_batch_fast(new, add_special_tokens=False)]
+            self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            self.tokenizer.encode_special_tokens = False
             sizes = np.fromiter(map(len, got), np.int64, len(got))
             return np.fromiter((i for ids in got for i in ids), np.uint32, int(sizes.sum())), sizes
-        joined = self.broken.encode_batch_fast([_BREAK.join(new)], add_special_tokens=False)[0]
+        joined = self.tokenizer.encode_batch_fast([_BREAK.join(new)], add_special_tokens=False)[0]
         ids = np.array(joined.ids, np.uint32)
         cuts = np.flatnonzero(ids == self.stop)
         sizes = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
@@ -113,12 +111,15 @@ class Encoder:
     def _group(self, texts: list[str]) -> list[np.ndarray]:
         cut = [_units(t) if t else [] for t in texts]
         keys = [k for units in cut for k in units]
-        if len(self.at) > MEMO_UNITS:
-            self._forget()
+        used, full = self.used, len(self.at) >= MEMO_UNITS
         place = np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
-        if self.at.new:
-            self._learn(self.at.new)
-            self.at.new = []
+        new, self.at.new = self.at.new, []
+        if new:
+            self._learn(new)
+        if full:  # the units met first, the frequent ones among them, stay
+            self.used = used
+            for key in new:
+                del self.at[key]
         size = self.size[place]
         stop = np.cumsum(size)
         ids = self.ids[np.repeat(self.begin[place] - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
