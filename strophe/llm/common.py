@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-# Bytes in one Arrow batch handed to Python: bounds a worker's memory whatever the length of the texts.
+# Bytes and rows in one Arrow batch handed to Python: bound a worker's memory whatever the length of the texts.
 BATCH_BYTES = 8 << 20
+BATCH_ROWS = 2000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -14,6 +15,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     for key, value in {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
     }.items():

@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,16 +41,19 @@ def _rank(i: int | None) -> tuple:
 
 
 def entries(docs: DataFrame, doc_id: str, text: str, normalise: Callable[[bytes], bytes], rows: bool) -> DataFrame:
-    """One entry for each text of a batch: its key, and its members or (``rows``) the row that wins.
+    """One entry for each text of a batch: its key, and its body and members or (``rows``) the row that wins.
 
     The member or row with the largest id comes first; null ids come last.
     """
-    source = docs.select(
-        F.col(doc_id).cast("long").alias("id"),
-        F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"),
-        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if rows else []),
+    body = F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    source = docs.select(F.col(doc_id).cast("long").alias("id"), row if rows else body)
+    place = docs.columns.index(text)
+    kept = (
+        [source.schema["row"]]
+        if rows
+        else [T.StructField("body", T.BinaryType()), T.StructField("members", T.ArrayType(T.LongType()))]
     )
-    kept = [source.schema["row"]] if rows else [T.StructField("members", T.ArrayType(T.LongType()))]
     schema = T.StructType(
         [
             T.StructField("rep", T.LongType()),
@@ -58,7 +61,6 @@ def entries(docs: DataFrame, doc_id: str, text: str, normalise: Callable[[bytes]
             T.StructField("top", T.LongType()),
             T.StructField("n", T.LongType()),
             T.StructField("digest", T.StringType()),
-            T.StructField("body", T.BinaryType()),
             *kept,
         ]
     )
@@ -68,15 +70,16 @@ def entries(docs: DataFrame, doc_id: str, text: str, normalise: Callable[[bytes]
         for batch in batches:
             ids = batch.column(0).to_pylist()
             groups: dict[bytes, list[int]] = {}
-            for place, body in enumerate(batch.column(1).to_pylist()):
-                groups.setdefault(normalise(body), []).append(place)
+            bodies = ((t.as_py() or "").encode() for t in batch.column(1).field(place)) if rows else batch.column(1).to_pylist()
+            for i, body in enumerate(bodies):
+                groups.setdefault(normalise(body), []).append(i)
             digests = [hashlib.sha256(body) for body in groups]
             order = [sorted(g, key=lambda p: _rank(ids[p])) for g in groups.values()]
             members = [[ids[p] for p in g] for g in order]
             last = (
-                batch.column(2).take(pa.array([g[0] for g in order], pa.int64()))
+                [batch.column(1).take(pa.array([g[0] for g in order], pa.int64()))]
                 if rows
-                else pa.array(members, pa.list_(pa.int64()))
+                else [pa.array(list(groups), pa.binary()), pa.array(members, pa.list_(pa.int64()))]
             )
             yield pa.RecordBatch.from_arrays(
                 [
@@ -85,8 +88,7 @@ def entries(docs: DataFrame, doc_id: str, text: str, normalise: Callable[[bytes]
                     pa.array([m[0] for m in members], pa.int64()),
                     pa.array([len(m) for m in members], pa.int64()),
                     pa.array([d.hexdigest() for d in digests], pa.string()),
-                    pa.array(list(groups), pa.binary()),
-                    last,
+                    *last,
                 ],
                 names=schema.names,
             )
@@ -116,11 +118,11 @@ def directory_depths(sizes: np.ndarray, capacity: int) -> np.ndarray:
         depth[over] += 1
 
 
-def directory(found: DataFrame, owners: int, capacity: int) -> tuple[DataFrame, int]:
+def directory(found: DataFrame, body: Column, owners: int, capacity: int) -> tuple[DataFrame, int]:
     """The directory as a table (slot, depth, owner) with at most 2**MAX_DEPTH rows, and its depth."""
     spark = found.sparkSession
     slot = F.shiftrightunsigned("key", 64 - MAX_DEPTH).cast("int")
-    held = found.groupBy(slot.alias("slot")).agg(F.sum(F.length("body") + 64).alias("bytes")).toPandas()
+    held = found.groupBy(slot.alias("slot")).agg(F.sum(F.octet_length(body) + 64).alias("bytes")).toPandas()
     sizes = np.zeros(1 << MAX_DEPTH, np.int64)
     sizes[held["slot"].to_numpy(np.int64)] = held["bytes"].to_numpy(np.int64)
     depth = directory_depths(sizes, capacity)
@@ -133,10 +135,10 @@ def directory(found: DataFrame, owners: int, capacity: int) -> tuple[DataFrame,
     return spark.createDataFrame(rows, "slot int, depth int, owner int").coalesce(1), whole
 
 
-def owned(found: DataFrame, capacity: int) -> DataFrame:
+def owned(found: DataFrame, capacity: int, body: Column | None = None) -> DataFrame:
     """The entries dealt to their owners, each owner's in the order of keys, the winning entry first."""
     owners = partitions(found.sparkSession)
-    slots, whole = directory(found, owners, capacity)
+    slots, whole = directory(found, F.col("body") if body is None else body, owners, capacity)
     slot = F.shiftrightunsigned("key", 64 - whole).cast("int") if whole else F.lit(0)
     return (
         found.withColumn("slot", slot)
@@ -217,17 +219,20 @@ def keep_one(
 ) -> DataFrame:
     """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns as they are."""
     found = stage(entries(docs, doc_id, text, normalise, rows=True))
-    dealt = owned(found.drop("digest"), capacity).select("key", "body", "row")
+    place = docs.columns.index(text)
+    body = F.coalesce(F.col("row").getField(text), F.lit(""))
+    dealt = owned(found.drop("digest"), capacity, body).select("key", "row")
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, seen = None, set()
         for batch in batches:
             mask = []
-            for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).field(place), strict=True):
                 if key != now:
                     now, seen = key, set()
+                body = normalise((t.as_py() or "").encode())
                 mask.append(body not in seen)
                 seen.add(body)
-            yield pa.RecordBatch.from_arrays([batch.column(2).filter(pa.array(mask, pa.bool_()))], names=["row"])
+            yield pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(mask, pa.bool_()))], names=["row"])
 
     return dealt.mapInArrow(heads, T.StructType([found.schema["row"]])).select("row.*")

@@ -169,20 +169,21 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     if there was nothing to learn from. Repeated rows get equal answers.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(text).alias("text"))
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
+    place = kept.index(text)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [
                 decide(model, features(t)) if has_letter(t) else (UNKNOWN, 0.0)
-                for t in (x.as_py() for x in batch.column(1))
+                for t in (x.as_py() for x in batch.column(0).field(place))
             ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
                 names=["row", "lang_pred", "score"],
             )
 
-    schema = source.select("row").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    schema = source.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
     return source.mapInArrow(answer, schema).select("row.*", "lang_pred", "score")
 
 

@@ -178,14 +178,16 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     Repeated rows get equal scores.
     """
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(text).cast("binary").alias("text"))
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
+    place = kept.index(text)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [0.5 if model is None else model.score(t.as_py() or b"") for t in batch.column(1)]
+            texts = ((t.as_py() or "").encode() for t in batch.column(0).field(place))
+            got = [0.5 if model is None else model.score(t) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], names=["row", "score"])
 
-    schema = source.select("row").withColumn("score", F.lit(0.0)).schema
+    schema = source.withColumn("score", F.lit(0.0)).schema
     scored = source.mapInArrow(answer, schema).select("row.*", "score")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

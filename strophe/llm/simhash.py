@@ -279,9 +279,9 @@ def keep_one(
     fingerprints or a long chain of small changes drops nothing unlike what stays.
     """
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    base = stage(docs.select(own.alias("row"), F.col(doc_id).cast("long").alias("id"), body.alias("body"),
-                             F.monotonically_increasing_id().alias("place")))
+    base = stage(docs.select(own.alias("row"), F.monotonically_increasing_id().alias("place")))
+    body = F.coalesce(F.col("row").getField(text).cast("binary"), F.lit(b"")).alias("body")
+    base = base.select("*", F.col("row").getField(doc_id).cast("long").alias("id"), body)
     groups = near_groups(base, "place", "body", words, limit, cell_rows)
     placed = base.select("place", "id").join(groups.withColumnRenamed("doc_id", "place"), "place")
     order = F.struct(F.col("id").isNull(), "id", "place")
@@ -298,4 +298,4 @@ def keep_one(
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near, pa.bool_()))], names=["place"])
 
     gone = stage(pairs.mapInArrow(alike, "place long"))
-    return base.join(gone, "place", "left_anti").select("row.*")
+    return base.select("row", "place").join(gone, "place", "left_anti").select("row.*")

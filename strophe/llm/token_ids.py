@@ -25,7 +25,7 @@ _TWICE = re.compile(f"[{_SPACE}][{_SPACE}]")
 
 _BREAK = "<|endoftext|>"
 
-MEMO_UNITS = 100_000
+MEMO_UNITS = 300_000
 WINDOW = 1 << 18  # characters cut into units at once
 
 
