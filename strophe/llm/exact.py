@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strophe.llm.common import partitions
+from strophe.llm.common import lean, partitions
 from strophe.session import stage
 
 # The directory never has more than 2**MAX_DEPTH slots, which bounds what the driver and a broadcast hold.
@@ -94,7 +94,7 @@ def entries(docs: DataFrame, doc_id: str, text: str, normalise: Callable[[bytes]
             )
             rep += len(order)
 
-    return source.mapInArrow(combine, schema)
+    return source.mapInArrow(lean(combine), schema)
 
 
 def directory_depths(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -199,7 +199,7 @@ def exact_groups(
         yield out()
 
     dealt = owned(found.drop("members", "digest"), capacity).select("key", "top", "rep", "n", "body")
-    heads = dealt.mapInArrow(chain, "rep long, winner long, keep_id long, group_size long")
+    heads = dealt.mapInArrow(lean(chain), "rep long, winner long, keep_id long, group_size long")
     rows = found.select("rep", "members", "digest").join(heads, "rep")
     return rows.select("*", F.posexplode("members").alias("place", "doc_id")).select(
         "doc_id",
@@ -235,4 +235,4 @@ def keep_one(
                 seen.add(body)
             yield pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(mask, pa.bool_()))], names=["row"])
 
-    return dealt.mapInArrow(heads, T.StructType([found.schema["row"]])).select("row.*")
+    return dealt.mapInArrow(lean(heads), T.StructType([found.schema["row"]])).select("row.*")

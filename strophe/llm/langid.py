@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strophe.llm.common import lean
+
 SIZE = 2048  # hashed features
 SAMPLE_ROWS = 4000  # rows the machines are fitted on (in expectation), spread evenly over the languages
 WINDOW = 1 << 20
@@ -157,7 +159,7 @@ def fit(
                 [pa.array(body, pa.binary()), batch.column(1).take(pa.array(keep, pa.int64()))], names=["x", "lang"]
             )
 
-    got = sorted((bytes(r.x), r.lang) for r in drawn.mapInArrow(encode, "x binary, lang string").collect())
+    got = sorted((bytes(r.x), r.lang) for r in drawn.mapInArrow(lean(encode), "x binary, lang string").collect())
     x = np.array([np.frombuffer(b, np.float32) for b, _ in got]).reshape(-1, SIZE)
     return train(x, [name for _, name in got], FAMILIES if families is None else families)
 
@@ -184,7 +186,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             )
 
     schema = source.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    return source.mapInArrow(answer, schema).select("row.*", "lang_pred", "score")
+    return source.mapInArrow(lean(answer), schema).select("row.*", "lang_pred", "score")
 
 
 def split_of(doc_id: str, parts: int) -> Column:

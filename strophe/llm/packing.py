@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strophe.llm.common import lean
 from strophe.llm.token_ids import encoder
 from strophe.session import stage
 
@@ -97,7 +98,7 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
                 [*batch.columns, pa.array(np.full(len(sizes), part, np.int32)), pa.array(rank)], names=schema.names
             )
 
-    rows = stage(source.mapInArrow(number, schema))
+    rows = stage(source.mapInArrow(lean(number), schema))
     counts = stage(rows.where("length > 0").groupBy("length", "part").count())
     held = counts.groupBy("length").agg(F.sum("count").alias("n")).collect()  # ``capacity`` rows at most
     where = places(patterns({r.length: r.n for r in held}, capacity))
@@ -124,7 +125,7 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
                 [batch.column(0), *[pa.array(x, mask=none) for x in found]], names=out.names
             )
 
-    return ranked.mapInArrow(place, out).select("row.*", "sequence_id", "offset")
+    return ranked.mapInArrow(lean(place), out).select("row.*", "sequence_id", "offset")
 
 
 def cut(
@@ -173,12 +174,12 @@ def cut(
                 names=schema.names,
             )
 
-    return source.mapInArrow(pieces, schema)
+    return source.mapInArrow(lean(pieces, encodes=True), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, **options) -> DataFrame:
     """The pieces of ``docs`` with their sequence_id and offset."""
-    return pack(cut(docs, tokenizer, capacity=capacity, **options), "length", capacity)
+    return pack(stage(cut(docs, tokenizer, capacity=capacity, **options)), "length", capacity)
 
 
 def sequences(packed: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strophe.llm.common import partitions
+from strophe.llm.common import lean, partitions
 from strophe.llm.token_ids import encoder
 from strophe.session import fresh_path, stage
 
@@ -203,7 +203,7 @@ def write_ids(
                 names=["file", "path", "docs", "ids", "bytes"],
             )
 
-    return stage(dealt.mapInArrow(write, "file int, path string, docs long, ids long, bytes long"))
+    return stage(dealt.mapInArrow(lean(write, encodes=True), "file int, path string, docs long, ids long, bytes long"))
 
 
 def read_ids(files: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def read_ids(files: DataFrame) -> DataFrame:
                         )
 
     spread = placed.repartitionById(tasks, F.col("file") % tasks)
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def fresh_folder(docs: DataFrame) -> str:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strophe.llm.common import lean
 from strophe.llm.langid import split_of
 
 PASSAGE = 512  # bytes in a passage
@@ -159,7 +160,7 @@ def fit(
                 bodies.append(x.astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(bodies, pa.binary()), batch.column(1)], names=["x", "label"])
 
-    got = sorted((bytes(r.x), r.label) for r in rows.mapInArrow(encode, "x binary, label int").collect())
+    got = sorted((bytes(r.x), r.label) for r in rows.mapInArrow(lean(encode), "x binary, label int").collect())
     if len({y for _, y in got}) < 2:
         return None
     bags = [np.frombuffer(b, np.float16).reshape(-1, WIDTH).astype(np.float32) for b, _ in got]
@@ -188,7 +189,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], names=["row", "score"])
 
     schema = source.withColumn("score", F.lit(0.0)).schema
-    scored = source.mapInArrow(answer, schema).select("row.*", "score")
+    scored = source.mapInArrow(lean(answer), schema).select("row.*", "score")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strophe.llm.common import merge, spans
+from strophe.llm.common import lean, merge, spans
 from strophe.llm.components import components
 from strophe.session import stage
 
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, doc_id: str, text: str, words: int = 4) -> Dat
             fps = np.array([fingerprint(t.as_py() or b"", words) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return source.mapInArrow(take, "doc_id long, fp long")
+    return source.mapInArrow(lean(take), "doc_id long, fp long")
 
 
 def finer_masks(mask: int, limit: int) -> list[int]:
@@ -194,7 +194,7 @@ def _cell_edges(cells: DataFrame, limit: int) -> DataFrame:
         cells.repartition("mask", "key")
         .sortWithinPartitions("mask", "key")
         .select("mask", "key", "fp")
-        .mapInArrow(find, "a long, b long")
+        .mapInArrow(lean(find), "a long, b long")
     )
 
 
@@ -297,5 +297,5 @@ def keep_one(
             near = [resemblance(a.as_py(), b.as_py(), words) >= similarity for a, b in zip(one, two, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near, pa.bool_()))], names=["place"])
 
-    gone = stage(pairs.mapInArrow(alike, "place long"))
+    gone = stage(pairs.mapInArrow(lean(alike), "place long"))
     return base.select("row", "place").join(gone, "place", "left_anti").select("row.*")

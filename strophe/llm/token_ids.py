@@ -149,6 +149,11 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def release() -> None:
+    """Forget the worker's encoder, for tasks that encode nothing."""
+    _ENCODERS.clear()
+
+
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file."""
     if path not in _ENCODERS:

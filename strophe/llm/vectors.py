@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strophe.llm.common import merge
+from strophe.llm.common import lean, merge
 from strophe.llm.components import components
 from strophe.session import stage
 
@@ -123,7 +123,7 @@ def near_vectors(
 
     kind = reps.schema["label"].dataType.simpleString()
     found = reps.select("rid", "label", "vector", "n").mapInArrow(
-        hashed, f"rid long, label {kind}, dim int, n long, vector array<{width}>, cells array<int>"
+        lean(hashed), f"rid long, label {kind}, dim int, n long, vector array<{width}>, cells array<int>"
     )
     found = stage(found).select("*", F.posexplode("cells").alias("table", "cell"))
     at = ["label", "dim", "table", "cell"]
@@ -177,7 +177,7 @@ def near_vectors(
         dealt.repartition(*at)
         .sortWithinPartitions(*at)
         .select(*at, "rid", "n", "block", "vector", "cells")
-        .mapInArrow(search, "a long, b long, links long")
+        .mapInArrow(lean(search), "a long, b long, links long")
     )
     links = made.where("b is null").groupBy(F.col("a").alias("rid")).agg(F.sum("links").alias("links"))
     roots = components(made.where("b is not null").select("a", "b"))
