@@ -227,7 +227,11 @@ def header_tags(text: Column) -> Column:
 
 
 def _number(value: Column) -> Column:
-    return F.replace(value, F.lit(","), F.lit(".")).try_cast("double")
+    """A finite number, or null: no suffix such as ``120d``, no NaN and no infinity."""
+    dotted = F.replace(value, F.lit(","), F.lit("."))
+    plain = dotted.rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$")
+    number = F.when(plain, dotted.try_cast("double"))
+    return F.when(F.abs(number) < float("inf"), number)
 
 
 def song_row(tags: Column) -> list[Column]:
@@ -237,7 +241,7 @@ def song_row(tags: Column) -> list[Column]:
         return F.try_element_at(tags, F.lit(name))
 
     def whole(name: str) -> Column:
-        return _number(tag(name)).cast("long")
+        return _number(tag(name)).try_cast("long")
 
     return [
         F.coalesce(tag("TITLE"), F.lit("")).alias("title"),

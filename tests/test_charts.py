@@ -191,3 +191,10 @@ def test_names(spark):
     )
     out = [r[0] for r in df.select(text.output_name(F.col("artist"), F.col("title"), F.col("path"))).collect()]
     assert out == ["AC DC - Who Me", "some.song", "untitled", "x" * 80]
+
+
+def test_unreadable_header_numbers_are_null(spark):
+    texts = [f"#TITLE:x\n#BPM:{v}\n#GAP:{v}\n#END:{v}\n: 0 1 2 a\nE\n" for v in ("nan", "1e30", "120d", "5f", "Infinity", "1e999", "12,5")]
+    corpus = spark.createDataFrame([(f"f{i}", t) for i, t in enumerate(texts)], "path string, text string")
+    got = [(r.bpm, r.gap, r.end_ms) for r in charts.parse_songs(corpus).orderBy("path").collect()]
+    assert got == [(None,) * 3, (1e30, None, None), (None,) * 3, (None,) * 3, (None,) * 3, (None,) * 3, (12.5, 12, 12)]
