@@ -36,7 +36,7 @@ def mixing_of_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def token_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids placed in sequences of 2048."""
-    return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), with_ids=True)
+    return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), with_ids=True, memo_units=60_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

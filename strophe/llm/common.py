@@ -13,7 +13,7 @@ from strophe.llm import token_ids
 
 # Bytes and rows in one Arrow batch handed to Python: bound a worker's memory whatever the length of the texts.
 BATCH_BYTES = 8 << 20
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def prepare(spark: SparkSession) -> SparkSession:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strophe.llm.common import lean
-from strophe.llm.token_ids import encoder
+from strophe.llm.token_ids import MEMO_UNITS, encoder
 from strophe.session import stage
 
 CAPACITY = 2048
@@ -136,9 +136,11 @@ def cut(
     capacity: int = CAPACITY,
     end_id: int = END_ID,
     with_ids: bool = False,
+    memo_units: int = MEMO_UNITS,
 ) -> DataFrame:
     """Pieces of whole texts: doc_id, start, length, ids_crc32, doc_tokens, and ids (little-endian uint32) if wanted.
 
+    ``memo_units`` weighs a worker's memory against its time; the ids are the same.
     A null text counts as empty and gives the end id alone. Null and repeated ids
     are kept as they are; other columns are ignored.
     """
@@ -153,7 +155,7 @@ def cut(
     schema = T.StructType([*fields, T.StructField("ids", T.BinaryType())] if with_ids else fields)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode_all
+        encode = encoder(tokenizer, memo_units).encode_all
         for batch in batches:
             at, rows, bodies = [], [], []
             for i, body in enumerate(encode(batch.column(1).to_pylist())):

@@ -25,7 +25,7 @@ _TWICE = re.compile(f"[{_SPACE}][{_SPACE}]")
 
 _BREAK = "<|endoftext|>"
 
-MEMO_UNITS = 300_000
+MEMO_UNITS = 600_000  # about 120 MB of a worker
 WINDOW = 1 << 18  # characters cut into units at once
 
 
@@ -69,11 +69,12 @@ class _Numbers(dict):
 
 
 class Encoder:
-    """Encodes texts; remembers the ids of the first MEMO_UNITS units or so that it meets."""
+    """Encodes texts; remembers the ids of the first ``memo_units`` units or so that it meets."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_units: int = MEMO_UNITS):
         from tokenizers import Tokenizer
 
+        self.memo_units = memo_units
         self.tokenizer = Tokenizer.from_file(path)
         self.stop = self.tokenizer.token_to_id(_BREAK)
         self.at = _Numbers()
@@ -111,7 +112,7 @@ class Encoder:
     def _group(self, texts: list[str]) -> list[np.ndarray]:
         cut = [_units(t) if t else [] for t in texts]
         keys = [k for units in cut for k in units]
-        used, full = self.used, len(self.at) >= MEMO_UNITS
+        used, full = self.used, len(self.at) >= self.memo_units
         place = np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
         new, self.at.new = self.at.new, []
         if new:
@@ -146,7 +147,7 @@ class Encoder:
             yield from self._group(group)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
 def release() -> None:
@@ -154,9 +155,9 @@ def release() -> None:
     _ENCODERS.clear()
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memo_units: int = MEMO_UNITS) -> Encoder:
     """The worker's encoder for a vocabulary file."""
-    if path not in _ENCODERS:
+    if (path, memo_units) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+        _ENCODERS[path, memo_units] = Encoder(path, memo_units)
+    return _ENCODERS[path, memo_units]
