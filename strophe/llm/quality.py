@@ -148,7 +148,8 @@ def fit(
     draw = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = known.where(draw < rate)
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("text"))
-    rows = texts.join(drawn, "id").select("text", "label")
+    # Bounded by ``sample_rows``, so the texts need not be shuffled to meet it.
+    rows = texts.join(F.broadcast(drawn), "id").select("text", "label")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
