@@ -23,6 +23,7 @@ from strophe.operators.scan import (
     run_sum,
     scan,
 )
+from strophe.operators.stats import ALIGNED
 from strophe.session import stage
 
 VERSE_GAP = 2.0
@@ -352,7 +353,7 @@ def interpolate_gaps(
         )
 
     source = (
-        F.when(hit, "aligned")
+        F.when(hit, ALIGNED)
         .when(p.isNotNull() & n.isNotNull(), "between")
         .when(n.isNotNull() | p.isNull(), "before")
         .otherwise("after")

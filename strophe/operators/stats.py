@@ -23,6 +23,7 @@ NOISE_FRACTION, SIGNAL_FRACTION, ACTIVITY_RATIO = 0.1, 0.75, 0.2
 STABLE_ABSOLUTE, STABLE_RELATIVE = 2.0, 0.05
 BEAT_LOW, BEAT_HIGH = 0.6, 1.1
 MIN_PAUSE_BEATS, PHASE_TOLERANCE = 2.0, 0.2
+ALIGNED = "aligned"  # source of a word whose times were found and not interpolated
 MIN_WEIGHT = 0.001
 CLIP_CHARS = 200
 
@@ -300,7 +301,7 @@ def verse_summary(
 def coverage(df: DataFrame, keys: Sequence[str], source: str, is_break: Column, syllable: str) -> DataFrame:
     """Aligned and interpolated words, syllables, notes and breaks per key."""
     word = F.col(source).isNotNull()
-    aligned = F.col(source) == "sw_aligned"
+    aligned = F.col(source) == ALIGNED
     return df.groupBy(*keys).agg(
         F.count_if(word & aligned).alias("aligned"),
         F.count_if(word & ~aligned).alias("interpolated"),

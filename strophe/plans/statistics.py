@@ -283,14 +283,14 @@ def _(spark, sf):
 @query(
     "coverage",
     "WITH " + roles.SUNG_SQL + """,
-    c AS (SELECT *, CASE WHEN is_break THEN NULL WHEN pos % 3 = 0 THEN 'interpolated_between' ELSE 'sw_aligned' END AS source FROM sung)
-    SELECT song, count(*) FILTER (source = 'sw_aligned') AS aligned, count(*) FILTER (source <> 'sw_aligned') AS interpolated,
-      round(100.0::DOUBLE * count(*) FILTER (source = 'sw_aligned') / greatest(count(source), 1), 6) AS aligned_pct,
+    c AS (SELECT *, CASE WHEN is_break THEN NULL WHEN pos % 3 = 0 THEN 'interpolated_between' ELSE 'aligned' END AS source FROM sung)
+    SELECT song, count(*) FILTER (source = 'aligned') AS aligned, count(*) FILTER (source <> 'aligned') AS interpolated,
+      round(100.0::DOUBLE * count(*) FILTER (source = 'aligned') / greatest(count(source), 1), 6) AS aligned_pct,
       count(*) FILTER (NOT is_break AND syllable <> '') AS syllables, count(*) FILTER (NOT is_break) AS notes, count(*) FILTER (is_break) AS breaks
     FROM c GROUP BY song""",
 )
 def _(spark, sf):
-    source = F.when(~F.col("is_break"), F.when(F.col("pos") % 3 == 0, "interpolated_between").otherwise("sw_aligned"))
+    source = F.when(~F.col("is_break"), F.when(F.col("pos") % 3 == 0, "interpolated_between").otherwise("aligned"))
     rows = roles.sung(spark, sf).withColumn("source", source)
     out = S.coverage(rows, ["song"], "source", F.col("is_break"), "syllable")
     return out.withColumn("aligned_pct", F.round("aligned_pct", 6))

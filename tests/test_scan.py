@@ -104,3 +104,14 @@ def test_points_in_intervals_are_closed_and_hashed(spark):
     got = R.points_in_intervals(points, intervals, ["k"], "t", ("s", "e"), 1.0)
     assert sorted((r.id, r.t) for r in got.collect()) == [(7, 1.0), (7, 1.5), (7, 2.0), (7, 2.5), (7, 3.0), (8, 2.5)]
     assert "NestedLoop" not in got._jdf.queryExecution().toString()
+
+
+def test_one_very_long_interval_among_short_ones(spark):
+    rows = [(1, k, float(k), k + 0.5) for k in range(200)] + [(1, 900, -3e9, 3e9)]
+    a = spark.createDataFrame(rows, "k long, a long, as double, ae double")
+    b = spark.createDataFrame([(1, 7, 10.2, 10.4), (1, 8, -1e9, 50.0)], "k long, b long, bs double, be double")
+    got = {(r.a, r.b) for r in R.overlap_join(a, b, ["k"], ("as", "ae"), ("bs", "be"), 1.0).collect()}
+    assert got == {(10, 7), (900, 7), (900, 8), *[(k, 8) for k in range(50)]}
+    points = spark.createDataFrame([(1, 2e9), (1, 10.5), (1, 10.6)], "k long, t double")
+    hits = R.points_in_intervals(points, a, ["k"], "t", ("as", "ae"), 1.0).collect()
+    assert sorted((r.a, r.t) for r in hits) == [(10, 10.5), (900, 10.5), (900, 10.6), (900, 2e9)]
