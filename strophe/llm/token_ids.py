@@ -3,8 +3,10 @@
 A text is cut before each white space that follows something else. The
 pre-tokenizers of the vocabularies used here end a piece at each such cut, and no
 character composes across it, so the ids of a text are those of its units in
-turn. Units not met before are encoded together, with the
-vocabulary's end-of-text token between them.
+turn. They also end a piece after a letter that an ASCII sign or digit follows
+(unless the letter folds to a letter and a mark), so a new unit like ``word.`` is
+put together from its parts. Parts not met before are encoded together: plain words with spaces between them, told apart by the
+vocabulary's marks of word starts or ends; others with its end-of-text token between.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
+from unicodedata import normalize
 
 import numpy as np
 
@@ -23,7 +26,11 @@ _UNIT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _BARE = ""  # marks a unit without a space before it; texts that hold it are cut by _UNIT
 _TWICE = re.compile(f"[{_SPACE}][{_SPACE}]")
 
+# A unit's line break, its word, and what follows; the last starts with an ASCII sign or digit.
+_PARTS = re.compile(f"({_BARE}\n(?=[^\\W\\d_]))?({_BARE}?[^\\W\\d_]+)?((?=[!-@\\[-`{{-~]).+)?", re.DOTALL)
+
 _BREAK = "<|endoftext|>"
+_WORD_START = "Ġ"  # how byte-level vocabularies write a space
 
 MEMO_UNITS = 600_000  # about 120 MB of a worker
 WINDOW = 1 << 18  # characters cut into units at once
@@ -40,6 +47,11 @@ def _unit(key: str) -> str:
     return key[1:] if key[:1] == _BARE else " " + key
 
 
+def _steady(key: str) -> bool:
+    """Whether composing and lower-casing turn no letter of a unit into a letter and a mark."""
+    return all(c.isalpha() for c in normalize("NFC", "".join(filter(str.isalpha, key))).lower())
+
+
 def _windows(text: str) -> Iterator[str]:
     """The text in parts of bounded length that end where units end (one unit may be longer)."""
     start = 0
@@ -77,6 +89,11 @@ class Encoder:
         self.memo_units = memo_units
         self.tokenizer = Tokenizer.from_file(path)
         self.stop = self.tokenizer.token_to_id(_BREAK)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.by_ends = bool(suffix)
+        self.edge = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)  # tokens that end, or else start, a word
+        for token, number in self.tokenizer.get_vocab().items():
+            self.edge[number] = token.endswith(suffix) if suffix else token.startswith(_WORD_START)
         self.at = _Numbers()
         self.size = np.zeros(1 << 12, np.int64)
         self.begin = np.zeros(1 << 12, np.int64)
@@ -97,18 +114,61 @@ class Encoder:
         sizes = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
         return np.delete(ids, cuts), sizes
 
-    def _learn(self, new: list[str]) -> None:
-        first = len(self.at) - len(new)
-        flat, sizes = self._fresh([_unit(k) for k in new])
-        while first + len(new) > len(self.size):
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """As ``_fresh`` for words of letters after a space; None if their ids cannot be told apart."""
+        ids = np.array(self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False).ids, np.uint32)
+        edges = np.flatnonzero(self.edge[ids])
+        # Each word has an edge at least, so as many edges as words means one for each.
+        if len(edges) != len(words) or edges[-1 if self.by_ends else 0] != (len(ids) - 1 if self.by_ends else 0):
+            return None
+        return ids, np.diff(edges, prepend=-1) if self.by_ends else np.diff(edges, append=len(ids))
+
+    def _keep(self, keys: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember the ids of keys that have their numbers."""
+        while len(self.at) > len(self.size):
             self.size, self.begin = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.begin))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.size[first : first + len(new)] = sizes
-        self.begin[first : first + len(new)] = self.used + np.cumsum(sizes) - sizes
+        number = np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
+        self.size[number] = sizes
+        self.begin[number] = self.used + np.cumsum(sizes) - sizes
         self.ids[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
 
+    def _joined(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered keys one after the other, and where each key's end."""
+        size = self.size[number]
+        stop = np.cumsum(size)
+        return self.ids[np.repeat(self.begin[number] - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)], stop
+
+    def _learn(self, new: list[str]) -> list[str]:
+        """Learn new keys and those of their parts; returns all keys learned."""
+        simple, whole, parts, ends = [], [], [], []
+        for key in new:
+            held = _PARTS.fullmatch(key)
+            found = [p for p in held.groups() if p] if held else []
+            if len(found) < 2 or not (key.isascii() or _steady(key)):
+                simple.append(key)
+                continue
+            whole.append(key)
+            for at, part in enumerate(found):
+                follows = at and part[0] != _BARE
+                parts.append(self.at[_BARE + part if follows else part])
+            ends.append(len(parts))
+        simple += self.at.new
+        every, self.at.new = new + self.at.new, []
+        words = [k for k in simple if k.isalpha()]
+        got = self._plain(words) if words else None
+        if got is not None:
+            self._keep(words, *got)
+            simple = [k for k in simple if not k.isalpha()]
+        if simple:
+            self._keep(simple, *self._fresh([_unit(k) for k in simple]))
+        if whole:
+            flat, stop = self._joined(np.array(parts, np.int64))
+            self._keep(whole, flat, np.diff(stop[np.array(ends) - 1], prepend=0))
+        return every
+
     def _group(self, texts: list[str]) -> list[np.ndarray]:
         cut = [_units(t) if t else [] for t in texts]
         keys = [k for units in cut for k in units]
@@ -116,14 +176,12 @@ class Encoder:
         place = np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
         new, self.at.new = self.at.new, []
         if new:
-            self._learn(new)
+            new = self._learn(new)
         if full:  # the units met first, the frequent ones among them, stay
             self.used = used
             for key in new:
                 del self.at[key]
-        size = self.size[place]
-        stop = np.cumsum(size)
-        ids = self.ids[np.repeat(self.begin[place] - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
+        ids, stop = self._joined(place)
         ends = np.cumsum([len(units) for units in cut])[:-1]
         return np.split(ids, np.concatenate([[0], stop])[ends])
 

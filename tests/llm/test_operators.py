@@ -238,6 +238,19 @@ def test_near_vectors(session, block_rows):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_units_of_odd_characters_give_the_ids_of_whole_texts():
+    signs = ["a", "B", "é", "İ", "\u0301", "Σ", "ß", "한", "ᄒ", "ᅡ", "\u0958", "1", "²", "ª", "_", "'s", "'ve", ".", "=", "\u0338"]
+    signs += ["\n", " ", "  ", "\t", "\u3000", "<|endoftext|>", "<|", "\ue000", "ǅ", "漢", "🙂", "\u200d"]
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(4000)]
+    for path in (BYTE, WORD):
+        whole = Tokenizer.from_file(path)
+        whole.encode_special_tokens = True
+        want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+        for memo in (50, 100_000):
+            assert [x.tolist() for x in token_ids.Encoder(path, memo).encode_all(texts)] == want
+
+
 def test_units_give_the_ids_of_whole_texts():
     rng = random.Random(1)
     odd = "".join(map(chr, [*range(0, 0x330), *range(0x1E00, 0x1E40), *range(0x2000, 0x2070), 0x3000, 0xE000, 0xFEFF]))
