@@ -273,10 +273,13 @@ def keep_one(
 ) -> DataFrame:
     """The rows of ``docs``, with all their columns as they are, less near copies of a row that stays.
 
-    Groups are those of ``near_groups``; the row with the smallest id of a group
-    stays (null ids last, then the first read), and a row goes if its word shingles
-    resemble that row's by ``similarity`` or more, so that a chance meeting of
+    Groups are those of ``near_groups``. In rounds, the row with the smallest id of
+    those left in a group stays (null ids last, then the first read), and the rows
+    go whose word shingles resemble that row's by ``similarity`` or more, until none
+    is left: so no two rows of a group that stay are alike, and a chance meeting of
     fingerprints or a long chain of small changes drops nothing unlike what stays.
+    There are as many rounds as rows that stay of one group, but only the rows that
+    are unlike all before take part in the next.
     """
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     base = stage(docs.select(own.alias("row"), F.monotonically_increasing_id().alias("place")))
@@ -285,17 +288,24 @@ def keep_one(
     groups = near_groups(base, "place", "body", words, limit, cell_rows)
     placed = base.select("place", "id").join(groups.withColumnRenamed("doc_id", "place"), "place")
     order = F.struct(F.col("id").isNull(), "id", "place")
-    heads = placed.groupBy("component_id").agg(F.min_by("place", order).alias("head"), F.count("*").alias("n"))
-    grouped = placed.join(heads.where("n > 1"), "component_id").select("place", "head")
-    texts = stage(base.select("place", "body").join(grouped, "place"))
-    first = texts.where("place = head").select("head", F.col("body").alias("other"))
-    pairs = texts.where("place <> head").join(first, "head").select("place", "body", "other")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, two = batch.column(1), batch.column(2)
             near = [resemblance(a.as_py(), b.as_py(), words) >= similarity for a, b in zip(one, two, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near, pa.bool_()))], names=["place"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near, pa.bool_())], names=["place", "near"])
 
-    gone = stage(pairs.mapInArrow(lean(alike), "place long"))
-    return base.select("row", "place").join(gone, "place", "left_anti").select("row.*")
+    bodies, left, gone = base.select("place", "body"), placed.select("place", "id", "component_id"), None
+    while True:
+        heads = left.groupBy("component_id").agg(F.min_by("place", order).alias("head"), F.count("*").alias("n"))
+        grouped = left.join(heads.where("n > 1"), "component_id")
+        texts = stage(bodies.join(grouped, "place"))
+        first = texts.where("place = head").select("head", F.col("body").alias("other"))
+        pairs = texts.where("place <> head").join(first, "head").select("place", "body", "other")
+        tried = stage(pairs.mapInArrow(lean(alike), "place long, near boolean"))
+        dropped = tried.where("near").select("place")
+        gone = dropped if gone is None else gone.union(dropped)
+        bodies = texts.select("place", "body")
+        left = stage(texts.select("place", "id", "component_id").join(tried.where("not near").select("place"), "place"))
+        if left.isEmpty():
+            return base.select("row", "place").join(gone, "place", "left_anti").select("row.*")
