@@ -15,8 +15,9 @@ from strophe.session import stage
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in some language; those without any letter (``und``) go."""
-    return langid.detect(docs).where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    """Documents in some language; those without any letter go, also where no language could be learned."""
+    lettered = F.col("text").rlike(r"\p{L}")
+    return langid.detect(docs).where((F.col("lang_pred") != langid.UNKNOWN) | lettered).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
