@@ -50,12 +50,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{scratch(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back.
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a staged table that nothing reads any more."""
+    jvm, sc = spark._jvm, spark.sparkContext
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def stage(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write a table to the shared folder, or to ``path``, and read it back.
 
     Cuts the lineage where a result is used several times; later steps read only
     the columns they need, and a lost executor costs no recomputation.
     """
-    path = fresh_path(df.sparkSession, "stage")
+    path = path or fresh_path(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
