@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.llm import exact, langid, mixing, packing, passages, planes, quality, sharding, simhash, vectors
+from strophe.llm import (
+    clusters, exact, fim, langid, mixing, packing, passages, planes, quality, sharding, simhash, topk, vectors,
+)
 from strophe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +109,34 @@ with n as (
 select doc_id, max(doc_id) over (partition by h) as keep_id, count(*) over (partition by h) as group_size,
   doc_id = max(doc_id) over (partition by h) as kept, h as text_sha256 from n
 """
+
+
+@_query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut at lines and put together with the middle last, and its text back from that."""
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(fim.restored().cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+CHECKS["op11_fill_in_middle"] = fim.FIM_SQL
+
+
+@_query
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five rows with the largest inner product for every fiftieth embedding."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+CHECKS["op12_top_k"] = topk.TOPK_SQL
+
+
+@_query
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings in sixteen clusters."""
+    return clusters.cluster_vectors(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+CHECKS["op13_clusters"] = clusters.clusters_sql()
