@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from strophe.llm.common import lean, partitions
 from strophe.session import stage
 
-BITS = 6
+BITS = 8  # the whole byte
 QUERY_ROWS = 1024  # queries that a scanning task holds, about
 BLOCK_ROWS = 1 << 18  # representatives that it reads, about; they pass through and are not held
 TILE = 256
