@@ -137,10 +137,12 @@ def cut(
     end_id: int = END_ID,
     with_ids: bool = False,
     memo_units: int = MEMO_UNITS,
+    specials_as_text: bool = False,
 ) -> DataFrame:
     """Pieces of whole texts: doc_id, start, length, ids_crc32, doc_tokens, and ids (little-endian uint32) if wanted.
 
     ``memo_units`` weighs a worker's memory against its time; the ids are the same.
+    A special token's string gives its id, or ordinary ids with ``specials_as_text``.
     A null text counts as empty and gives the end id alone. Null and repeated ids
     are kept as they are; other columns are ignored.
     """
@@ -155,7 +157,7 @@ def cut(
     schema = T.StructType([*fields, T.StructField("ids", T.BinaryType())] if with_ids else fields)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, memo_units).encode_all
+        encode = encoder(tokenizer, memo_units, specials_as_text).encode_all
         for batch in batches:
             at, rows, bodies = [], [], []
             for i, body in enumerate(encode(batch.column(1).to_pylist())):

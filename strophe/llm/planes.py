@@ -165,6 +165,7 @@ def write_ids(
     text: str = "text",
     end_id: int = END_ID,
     planes: str = "byte",
+    specials_as_text: bool = False,
 ) -> DataFrame:
     """Write the ids of whole texts in ascending doc_id order; returns the table of files.
 
@@ -172,7 +173,8 @@ def write_ids(
     under a name of its own attempt, so a repeated task never meets a half-written
     file, and only the files of attempts that ended well are in the table. Rows of
     equal ids are ordered by a checksum of the text; null ids come first; a null
-    text counts as empty (the end id alone). Other columns are ignored.
+    text counts as empty (the end id alone). A special token's string gives its id,
+    or ordinary ids with ``specials_as_text``. Other columns are ignored.
     """
     source = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
@@ -184,7 +186,7 @@ def write_ids(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         path = f"{folder.rstrip('/')}/ids-{task.partitionId():05d}-{task.taskAttemptId()}.stids"
-        encode = encoder(tokenizer).encode_all
+        encode = encoder(tokenizer, specials_as_text=specials_as_text).encode_all
         store, inner = open_store(path)
         writer = None
         for batch in batches:

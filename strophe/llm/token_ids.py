@@ -7,10 +7,13 @@ turn. They also end a piece after a letter that an ASCII sign or digit follows
 (unless the letter folds to a letter and a mark), so a new unit like ``word.`` is
 put together from its parts. Parts not met before are encoded together: plain words with spaces between them, told apart by the
 vocabulary's marks of word starts or ends; others with its end-of-text token between.
+A vocabulary file with another normalizer or pre-tokenizer than those known here
+has whole texts encoded by the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -35,6 +38,26 @@ _WORD_START = "Ġ"  # how byte-level vocabularies write a space
 MEMO_UNITS = 600_000  # about 120 MB of a worker
 WINDOW = 1 << 18  # characters cut into units at once
 
+# The parts of a vocabulary file for which a cut before white space changes no id.
+_PLAIN_START = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+_LOWER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def cuts_hold(settings: dict) -> bool:
+    """Whether a vocabulary file's normalizer and pre-tokenizer are among those known here."""
+    if any(settings.get(k) for k in ("truncation", "padding")) or settings["model"].get("type", "BPE") != "BPE":
+        return False
+    first, then = settings.get("normalizer"), settings.get("pre_tokenizer") or {}
+    if first is None:
+        return then == _PLAIN_START
+    steps = then.get("pretokenizers") or [{}]
+    return (
+        first == {"type": "Sequence", "normalizers": _LOWER}
+        and steps[0] == {"type": "Split", "pattern": {"Regex": _WORDS}, "behavior": "Removed", "invert": True}
+        and steps[1:] == [{**_PLAIN_START, "use_regex": False}]
+    )
+
 
 def _units(text: str) -> list[str]:
     """Keys of the units of a text: the unit without its leading space, or marked as bare."""
@@ -81,13 +104,20 @@ class _Numbers(dict):
 
 
 class Encoder:
-    """Encodes texts; remembers the ids of the first ``memo_units`` units or so that it meets."""
+    """Encodes texts; remembers the ids of the first ``memo_units`` units or so that it meets.
 
-    def __init__(self, path: str, memo_units: int = MEMO_UNITS):
+    The strings of the vocabulary's special tokens give those tokens' ids, or with
+    ``specials_as_text`` the ids of ordinary text.
+    """
+
+    def __init__(self, path: str, memo_units: int = MEMO_UNITS, specials_as_text: bool = False):
         from tokenizers import Tokenizer
 
-        self.memo_units = memo_units
+        self.memo_units, self.specials_as_text = memo_units, specials_as_text
         self.tokenizer = Tokenizer.from_file(path)
+        settings = json.loads(self.tokenizer.to_str())
+        special = [t["content"] for t in settings.get("added_tokens", [])]
+        self.by_units = cuts_hold(settings) and all(t.startswith("<|") and not re.search(r"\s", t) for t in special)
         self.stop = self.tokenizer.token_to_id(_BREAK)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.by_ends = bool(suffix)
@@ -103,7 +133,7 @@ class Encoder:
     def _fresh(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the units one after the other, and how many each has."""
         if self.stop is None or any("<|" in u for u in new):
-            self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+            self.tokenizer.encode_special_tokens = self.specials_as_text
             got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
             self.tokenizer.encode_special_tokens = False
             sizes = np.fromiter(map(len, got), np.int64, len(got))
@@ -169,6 +199,10 @@ class Encoder:
             self._keep(whole, flat, np.diff(stop[np.array(ends) - 1], prepend=0))
         return every
 
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        self.tokenizer.encode_special_tokens = self.specials_as_text
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _group(self, texts: list[str]) -> list[np.ndarray]:
         cut = [_units(t) if t else [] for t in texts]
         keys = [k for units in cut for k in units]
@@ -189,6 +223,10 @@ class Encoder:
         """The ids of each text, in order; a bounded number of characters is cut at once."""
         group: list[str] = []
         held = 0
+        if not self.by_units:
+            for text in texts:
+                yield self._whole([text])[0]
+            return
         for text in texts:
             if len(text) > WINDOW:
                 if group:
@@ -205,7 +243,7 @@ class Encoder:
             yield from self._group(group)
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
+_ENCODERS: dict[tuple[str, int, bool], Encoder] = {}
 
 
 def release() -> None:
@@ -213,9 +251,10 @@ def release() -> None:
     _ENCODERS.clear()
 
 
-def encoder(path: str, memo_units: int = MEMO_UNITS) -> Encoder:
+def encoder(path: str, memo_units: int = MEMO_UNITS, specials_as_text: bool = False) -> Encoder:
     """The worker's encoder for a vocabulary file."""
-    if (path, memo_units) not in _ENCODERS:
+    key = path, memo_units, specials_as_text
+    if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path, memo_units] = Encoder(path, memo_units)
-    return _ENCODERS[path, memo_units]
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]

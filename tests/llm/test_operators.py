@@ -244,11 +244,12 @@ def test_units_of_odd_characters_give_the_ids_of_whole_texts():
     rng = random.Random(3)
     texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(4000)]
     for path in (BYTE, WORD):
-        whole = Tokenizer.from_file(path)
-        whole.encode_special_tokens = True
-        want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
-        for memo in (50, 100_000):
-            assert [x.tolist() for x in token_ids.Encoder(path, memo).encode_all(texts)] == want
+        for as_text in (False, True):
+            whole = Tokenizer.from_file(path)
+            whole.encode_special_tokens = as_text
+            want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+            for memo in (50, 100_000):
+                assert [x.tolist() for x in token_ids.Encoder(path, memo, as_text).encode_all(texts)] == want
 
 
 def test_units_give_the_ids_of_whole_texts():
@@ -258,15 +259,25 @@ def test_units_give_the_ids_of_whole_texts():
     texts += ["".join(rng.choice(odd + "      \n\n's't12ab!,.;éé") for _ in range(rng.randint(0, 90))) for _ in range(1500)]
     texts += [" ".join(texts[-200:]) * 40]
     for path in (BYTE, WORD):
-        whole = Tokenizer.from_file(path)
-        whole.encode_special_tokens = True
-        want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+        want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
         assert [x.tolist() for x in token_ids.Encoder(path).encode_all(texts)] == want
 
 
+def test_unknown_pre_tokenizers_encode_whole_texts(tmp_path):
+    from tokenizers import pre_tokenizers
+
+    assert token_ids.Encoder(BYTE).by_units and token_ids.Encoder(WORD).by_units
+    odd = Tokenizer.from_file(BYTE)
+    odd.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # merges run over white space
+    odd.save(str(tmp_path / "odd.json"))
+    encoder = token_ids.Encoder(str(tmp_path / "odd.json"))
+    texts = ["", "one two", "a  b\nc ", "<|endoftext|> x"]
+    assert not encoder.by_units
+    assert [x.tolist() for x in encoder.encode_all(texts)] == [e.ids for e in odd.encode_batch(texts, add_special_tokens=False)]
+
+
 def ids_of(text, path):
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     return np.array([*whole.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
 
 
