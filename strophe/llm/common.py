@@ -79,3 +79,15 @@ def spans(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     run = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     return run, place
+
+
+def runs(batch: pa.RecordBatch, keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Neighbouring rows that are equal in the first ``keys`` columns (whole numbers), with those values."""
+    if not batch.num_rows:
+        return
+    ids = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:keys]])
+    ends = [*(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+    begin = 0
+    for end in ends:
+        yield tuple(ids[begin].tolist()), batch.slice(begin, end - begin)
+        begin = end

@@ -23,17 +23,19 @@ from itertools import accumulate, combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strophe.llm.common import lean, merge, spans
+from strophe.llm.common import lean, merge, runs, spans
 from strophe.llm.components import components
-from strophe.session import stage
+from strophe.session import discard, fresh_path, stage
 
 FAN = 16  # fingerprints in a leaf, nodes in a node
 CELL_ROWS = 1 << 16
 SMALL_BITS = 16  # a cell with so few free bits has at most 2**16 fingerprints
 QUERIES = 2048  # fingerprints searched at once
+HEAD_ROWS = 256  # rows of a group that one task settles in a round
+SALT_ROWS = 2048  # rows of a group that one task compares with those that stay
 
 
 def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
@@ -262,6 +264,21 @@ def resemblance(a: bytes, b: bytes, words: int) -> float:
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct word shingles of a text; they stand for the shingles in comparisons."""
+    parts = text.lower().split()
+    found = {xxhash.xxh64_intdigest(b" ".join(parts[i : i + words])) for i in range(max(1, len(parts) - words + 1))}
+    return np.array(sorted(found), np.uint64)
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two shingle sets have at least this Jaccard similarity."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) >= similarity
+
+
 def keep_one(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -270,42 +287,109 @@ def keep_one(
     limit: int = 6,
     similarity: float = 0.8,
     cell_rows: int = CELL_ROWS,
+    head_rows: int = HEAD_ROWS,
+    salt_rows: int = SALT_ROWS,
 ) -> DataFrame:
     """The rows of ``docs``, with all their columns as they are, less near copies of a row that stays.
 
-    Groups are those of ``near_groups``. In rounds, the row with the smallest id of
-    those left in a group stays (null ids last, then the first read), and the rows
-    go whose word shingles resemble that row's by ``similarity`` or more, until none
-    is left: so no two rows of a group that stay are alike, and a chance meeting of
-    fingerprints or a long chain of small changes drops nothing unlike what stays.
-    There are as many rounds as rows that stay of one group, but only the rows that
-    are unlike all before take part in the next.
+    Groups are those of ``near_groups``; pairs farther apart than ``limit`` bits that no
+    chain of fingerprints joins are never compared, however alike. Along the ids of a group
+    (null ids last, then as read) a row stays unless its word shingles resemble those
+    of a row that stays before it by ``similarity`` or more: no two rows of a group that
+    stay are alike, and a chance meeting of fingerprints or a long chain of small
+    changes drops nothing unlike what stays.
+
+    Done in rounds: one task settles the first ``head_rows`` rows of a group among
+    themselves, and tasks of about ``salt_rows`` others each compare theirs with those
+    that stay; what is left goes to the next round. Only hashes of shingles are moved,
+    and those of groups of two rows or more alone. Null and empty texts are alike.
     """
+    spark = docs.sparkSession
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     base = stage(docs.select(own.alias("row"), F.monotonically_increasing_id().alias("place")))
     body = F.coalesce(F.col("row").getField(text).cast("binary"), F.lit(b"")).alias("body")
-    base = base.select("*", F.col("row").getField(doc_id).cast("long").alias("id"), body)
-    groups = near_groups(base, "place", "body", words, limit, cell_rows)
-    placed = base.select("place", "id").join(groups.withColumnRenamed("doc_id", "place"), "place")
-    order = F.struct(F.col("id").isNull(), "id", "place")
+    groups = near_groups(base.select("place", body), "place", "body", words, limit, cell_rows)
+    placed = stage(groups.select(F.col("doc_id").alias("place"), "component_id"))
+    shared = placed.groupBy("component_id").count().where("count > 1").select("component_id")
+    id_ = F.col("row").getField(doc_id).cast("long")
+    members = base.join(placed.join(shared, "component_id"), "place").select(
+        "component_id", id_.isNull().alias("void"), F.coalesce(id_, F.lit(0)).alias("id"), "place", body
+    )
+    columns = "component_id long, void boolean, id long, place long, marks binary"
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = batch.column(1), batch.column(2)
-            near = [resemblance(a.as_py(), b.as_py(), words) >= similarity for a, b in zip(one, two, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near, pa.bool_())], names=["place", "near"])
-
-    bodies, left, gone = base.select("place", "body"), placed.select("place", "id", "component_id"), None
+            marks = [shingle_set(t.as_py(), words).tobytes() for t in batch.column(4)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:4], pa.array(marks, pa.binary())], names=["component_id", "void", "id", "place", "marks"]
+            )
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, heads = None, []
+        for whole in batches:
+            for (component,), batch in runs(whole, 1):
+                if component != now:
+                    now, heads = component, []
+                stays = []
+                for marks in batch.column(2):
+                    own = np.frombuffer(marks.as_py(), np.uint64)
+                    stays.append(not any(alike(own, h, similarity) for h in heads))
+                    if stays[-1]:
+                        heads.append(own)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(stays)], names=["component_id", "place", "marks", "stays"]
+                )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, heads = None, []
+        for whole in batches:
+            for (component, salt, kind), batch in runs(whole, 3):
+                if (component, salt) != now:
+                    now, heads = (component, salt), []
+                sets = [np.frombuffer(m.as_py(), np.uint64) for m in batch.column(6)]
+                if kind == 0:
+                    heads.extend(sets)
+                    continue
+                near = [any(alike(s, h, similarity) for h in heads) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), *batch.columns[3:7], pa.array(near)],
+                    names=["component_id", "void", "id", "place", "marks", "near"],
+                )
+
+    path, gone = fresh_path(spark, "stage"), fresh_path(spark, "gone")
+    left = stage(members.mapInArrow(lean(mark), columns), path)
+    nth = F.row_number().over(Window.partitionBy("component_id").orderBy("void", "id", "place"))
     while True:
-        heads = left.groupBy("component_id").agg(F.min_by("place", order).alias("head"), F.count("*").alias("n"))
-        grouped = left.join(heads.where("n > 1"), "component_id")
-        texts = stage(bodies.join(grouped, "place"))
-        first = texts.where("place = head").select("head", F.col("body").alias("other"))
-        pairs = texts.where("place <> head").join(first, "head").select("place", "body", "other")
-        tried = stage(pairs.mapInArrow(lean(alike), "place long, near boolean"))
-        dropped = tried.where("near").select("place")
-        gone = dropped if gone is None else gone.union(dropped)
-        bodies = texts.select("place", "body")
-        left = stage(texts.select("place", "id", "component_id").join(tried.where("not near").select("place"), "place"))
-        if left.isEmpty():
-            return base.select("row", "place").join(gone, "place", "left_anti").select("row.*")
+        # The row numbers are limited before the exchange too: at most ``head_rows`` of a group from each task.
+        first = left.withColumn("nth", nth).where(F.col("nth") <= head_rows)
+        settled = stage(
+            first.repartition("component_id")
+            .sortWithinPartitions("component_id", "nth")
+            .select("component_id", "place", "marks")
+            .mapInArrow(lean(settle), "component_id long, place long, marks binary, stays boolean")
+        )
+        settled.where("not stays").select("place").write.mode("append").parquet(gone)
+        sizes = left.groupBy("component_id").count().where(F.col("count") > head_rows)
+        over = stage(sizes.select("component_id", F.ceil(F.col("count") / salt_rows).cast("int").alias("salts")))
+        if over.isEmpty():
+            break
+        rest = left.join(over, "component_id").join(settled.select("place"), "place", "left_anti")
+        rest = rest.withColumn("salt", F.pmod(F.xxhash64("place"), F.col("salts")).cast("int"))
+        heads = settled.where("stays").join(over, "component_id")
+        heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        order = ["component_id", "salt", "kind", "void", "id", "place", "marks"]
+        both = rest.withColumn("kind", F.lit(1)).select(*order).union(
+            heads.select("component_id", "salt", F.lit(0), F.lit(False), F.lit(0).cast("long"), "place", "marks")
+        )
+        old, path = path, fresh_path(spark, "stage")
+        tried = stage(
+            both.repartition("component_id", "salt")
+            .sortWithinPartitions("component_id", "salt", "kind")
+            .mapInArrow(lean(compare), f"{columns}, near boolean"),
+            path,
+        )
+        discard(spark, old)
+        tried.where("near").select("place").write.mode("append").parquet(gone)
+        left = tried.where("not near").drop("near")
+    discard(spark, path)
+    return base.join(spark.read.schema("place long").parquet(gone), "place", "left_anti").select("row.*")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strophe.llm.common import lean, partitions
+from strophe.llm.common import lean, partitions, runs
 from strophe.session import stage
 
 BITS = 8  # the whole byte
@@ -60,18 +60,6 @@ def cells_of(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return low, width, ((x - low[:, None]) // width[:, None]).astype(np.uint8)
 
 
-def runs(batch: pa.RecordBatch, keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
-    """Neighbouring rows that are equal in the first ``keys`` columns (whole numbers), with those values."""
-    if not batch.num_rows:
-        return
-    ids = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:keys]])
-    ends = [*(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
-    begin = 0
-    for end in ends:
-        yield tuple(ids[begin].tolist()), batch.slice(begin, end - begin)
-        begin = end
-
-
 class Scan:
     """A block of queries against a stream of cells."""
 

@@ -47,5 +47,27 @@ def test_query_equals_sql(spark, small, name):
 
 
 def test_every_operator_has_a_query():
-    assert {n.split("_")[0] for n in queries() if n.startswith("op")} >= {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in queries() if n.startswith("op")} >= {f"op{n}" for n in range(1, 14)}
     assert "pipeline" in queries() and len(corpus_pipeline.STAGES) == 5
+
+
+def test_stages_keep_columns_and_take_odd_rows(spark, small):
+    """Columns named like those the operators add, nulls in every column, repeats, and no rows at all."""
+    extra = "copy int, copies int, order_key string, held_out string, lang_pred int, score string, row int, place string, body int"
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {extra}"
+    tail = (7, 8, "k", "h", 9, "s", 10, "p", 11)
+    rows = [(None,) * 14, (1, None, "en", "a", 0, *tail), (2, "", None, None, 0, *tail), (None, "some words", None, None, None, *tail)]
+    rows += [(i, f"words of text number {i} and more " * 3, "en" if i % 2 else "de", "ab"[i % 2], 5, *tail) for i in range(3, 40)]
+    rows += [rows[5], rows[6]]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage_of in corpus_pipeline.STAGES[:-1]:
+        got = stage_of(spark, docs, small)
+        assert got.schema.simpleString() == docs.schema.simpleString(), name
+        found = Counter(map(str, got.collect()))
+        assert set(found) <= set(map(str, docs.collect())), name
+        if name != "mixing":
+            assert sum(found.values()) <= len(rows) and len(found) >= 30, name
+        assert stage_of(spark, docs.limit(0), small).count() == 0, name
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, small)
+    assert sum(r.start == 0 for r in pieces.collect()) == len(rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), small).count() == 0
