@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,19 +68,14 @@ def places(packs: list[tuple[int, tuple[int, ...]]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
-def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` with sequence_id and offset: where each piece lies, sequences of at most ``capacity``.
-
-    Lengths must lie in 1..capacity; rows with a null length have no place (nulls).
-    Ties are broken by the order of the rows in their partition. Input columns named
-    sequence_id or offset are replaced. An empty table gives no rows.
-    """
-    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
-    source = pieces.select(F.col(length).cast("int").alias("length"), row)
+def _numbering(row: T.StructType, capacity: int) -> tuple[Callable, T.StructType]:
+    """A function that adds to (length, row) the task and the rank of a length in it, and its schema."""
     schema = T.StructType(
-        [*source.schema, T.StructField("part", T.IntegerType()), T.StructField("rank", T.LongType())]
-    )
+        [
+            T.StructField("length", T.IntegerType()), T.StructField("row", row),
+            T.StructField("part", T.IntegerType()), T.StructField("rank", T.LongType()),
+        ]
+    )
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
@@ -98,7 +93,11 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
                 [*batch.columns, pa.array(np.full(len(sizes), part, np.int32)), pa.array(rank)], names=schema.names
             )
 
-    rows = stage(source.mapInArrow(lean(number), schema))
+    return number, schema
+
+
+def _placed(rows: DataFrame, capacity: int) -> DataFrame:
+    """The rows of a written numbered table with their places."""
     counts = stage(rows.where("length > 0").groupBy("length", "part").count())
     held = counts.groupBy("length").agg(F.sum("count").alias("n")).collect()  # ``capacity`` rows at most
     where = places(patterns({r.length: r.n for r in held}, capacity))
@@ -128,7 +127,21 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
     return ranked.mapInArrow(lean(place), out).select("row.*", "sequence_id", "offset")
 
 
-def cut(
+def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY) -> DataFrame:
+    """``pieces`` with sequence_id and offset: where each piece lies, sequences of at most ``capacity``.
+
+    Lengths must lie in 1..capacity; rows with a null length have no place (nulls).
+    Ties are broken by the order of the rows in their partition. Input columns named
+    sequence_id or offset are replaced. An empty table gives no rows.
+    """
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
+    source = pieces.select(F.col(length).cast("int").alias("length"), row)
+    number, schema = _numbering(source.schema["row"].dataType, capacity)
+    return _placed(stage(source.mapInArrow(lean(number), schema)), capacity)
+
+
+def _cutting(
     docs: DataFrame,
     tokenizer: str,
     doc_id: str = "doc_id",
@@ -138,14 +151,8 @@ def cut(
     with_ids: bool = False,
     memo_units: int = MEMO_UNITS,
     specials_as_text: bool = False,
-) -> DataFrame:
-    """Pieces of whole texts: doc_id, start, length, ids_crc32, doc_tokens, and ids (little-endian uint32) if wanted.
-
-    ``memo_units`` weighs a worker's memory against its time; the ids are the same.
-    A special token's string gives its id, or ordinary ids with ``specials_as_text``.
-    A null text counts as empty and gives the end id alone. Null and repeated ids
-    are kept as they are; other columns are ignored.
-    """
+) -> tuple[DataFrame, Callable, T.StructType]:
+    """What ``cut`` reads, its function and its schema."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     fields = [
         source.schema["doc_id"],
@@ -178,12 +185,36 @@ def cut(
                 names=schema.names,
             )
 
+    return source, pieces, schema
+
+
+def cut(docs: DataFrame, tokenizer: str, *args, **options) -> DataFrame:
+    """Pieces of whole texts: doc_id, start, length, ids_crc32, doc_tokens, and ids (little-endian uint32) if wanted.
+
+    Options are those of ``_cutting``: the columns' names, ``capacity``, ``end_id``,
+    ``with_ids``; ``memo_units`` weighs a worker's memory against its time, the ids are
+    the same; a special token's string gives its id, or ordinary ids with
+    ``specials_as_text``. A null text counts as empty and gives the end id alone. Null
+    and repeated ids are kept as they are; other columns are ignored.
+    """
+    source, pieces, schema = _cutting(docs, tokenizer, *args, **options)
     return source.mapInArrow(lean(pieces, encodes=True), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, **options) -> DataFrame:
-    """The pieces of ``docs`` with their sequence_id and offset."""
-    return pack(stage(cut(docs, tokenizer, capacity=capacity, **options)), "length", capacity)
+    """The pieces of ``docs`` with their sequence_id and offset; they are cut and numbered in one pass, written once."""
+    source, pieces, row = _cutting(docs, tokenizer, capacity=capacity, **options)
+    number, schema = _numbering(row, capacity)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            body = pa.StructArray.from_arrays(batch.columns, names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("length").cast(pa.int32()), body], names=["length", "row"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from number(rows(batches))
+
+    return _placed(stage(source.mapInArrow(lean(run, encodes=True), schema)), capacity)
 
 
 def sequences(packed: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> DataFrame:
