@@ -8,22 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strophe.functions.text import normalize_token
-from strophe.operators.alignment import align_tokens, word_arrays
+from strophe.operators.anchors import PIECE, align_long
 from strophe.operators.stats import best_candidate, longest_run, median_candidate
 from strophe.session import stage
 
 
-def align_runs(words: DataFrame, keys: Sequence[str], run: str, ordinal: str, word: str) -> DataFrame:
-    """(keys, run, ref_pos, pos): the words of each run on the words of the longest run."""
+def align_runs(
+    words: DataFrame, keys: Sequence[str], run: str, ordinal: str, word: str, piece: int = PIECE
+) -> DataFrame:
+    """(keys, run, ref_pos, pos): the words of each run on the words of the longest run.
+
+    Ordinals are dense from 0. Runs of more than ``piece`` words are cut at anchors.
+    """
     keys = list(keys)
-    reference = longest_run(words, keys, run).select(*keys, F.col(run).alias("_ref"))
-    arrays = word_arrays(words, [*keys, run], ordinal, word, "_ws")
-    ref_words = arrays.join(
-        reference.withColumnRenamed("_ref", run), [*keys, run]
-    ).select(*keys, F.col("_ws").alias("_rw"))
-    others = arrays.join(reference.withColumnRenamed("_ref", run), [*keys, run], "left_anti")
-    pairs = others.join(ref_words, keys)
-    steps = align_tokens(pairs, [*keys, run], "_rw", "_ws", "words")
+    tokens = words.select(*keys, run, ordinal, normalize_token(F.col(word)).alias("_w"))
+    reference = longest_run(words, keys, run).select(*keys, F.col(run).alias(run))
+    ref_words = tokens.join(reference, [*keys, run]).drop(run)
+    others = tokens.join(reference, [*keys, run], "left_anti")
+    left = ref_words.join(others.select(*keys, run).distinct(), keys)
+    steps = align_long(left, others, [*keys, run], ordinal, "_w", "words", piece=piece)
     return steps.where("step = 'M'").select(*keys, run, F.col("i").alias("ref_pos"), F.col("j").alias(ordinal))
 
 
@@ -46,21 +49,31 @@ def vote_columns(words: DataFrame, keys: Sequence[str], run: str, ordinal: str,
     return stage(base.unionByName(rest).join(expected, [*keys, "ref_pos"]))
 
 
-def consensus_runs(words: DataFrame, keys: Sequence[str], run: str, ordinal: str, word: str) -> DataFrame:
+def _chosen(words: DataFrame, char_scores: str | None, *columns: str) -> list[str]:
+    return [*columns, *([char_scores] if char_scores else [])]
+
+
+def consensus_runs(
+    words: DataFrame, keys: Sequence[str], run: str, ordinal: str, word: str, char_scores: str | None = None
+) -> DataFrame:
     """The winning word at every position of the longest run.
 
     Most votes win, the reference on a tie; of the winning readings the one with
-    the best score, then the most central one, gives text and times together.
+    the best score, then the most central one, gives text, times and characters
+    together. The score is the mean of the scores of a word's characters (an array,
+    column ``char_scores``) where it has any, else the word's own.
     """
     columns = vote_columns(words, keys, run, ordinal, word)
     middle = (F.col("start") + F.col("end")) / 2
-    out = best_candidate(columns, [*keys, "ref_pos"], "norm", F.col("score"), middle, "seat")
-    return out.select(*keys, "ref_pos", word, "start", "end", "score", run)
+    out = best_candidate(columns, [*keys, "ref_pos"], "norm", F.col("score"), middle, "seat", char_scores)
+    return out.select(*keys, "ref_pos", *_chosen(words, char_scores, word, "start", "end", "score", run))
 
 
-def consensus_timing(words: DataFrame, keys: Sequence[str], run: str, ordinal: str, word: str) -> DataFrame:
-    """The word with the most central times at every position of the longest run."""
+def consensus_timing(
+    words: DataFrame, keys: Sequence[str], run: str, ordinal: str, word: str, char_scores: str | None = None
+) -> DataFrame:
+    """The word with the most central times at every position of the longest run, with its characters."""
     columns = vote_columns(words, keys, run, ordinal, word)
     same = F.col("norm") == F.col("ref_norm")
-    out = median_candidate(columns, [*keys, "ref_pos"], same, "start", "end", F.col("score"), "seat")
-    return out.select(*keys, "ref_pos", word, "start", "end", run)
+    out = median_candidate(columns, [*keys, "ref_pos"], same, "start", "end", "seat", char_scores)
+    return out.select(*keys, "ref_pos", *_chosen(words, char_scores, word, "start", "end", run))

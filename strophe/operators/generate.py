@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strophe.functions import music
+from strophe.functions.text import normalize_line
 from strophe.functions.music import half_even
 from strophe.operators.lyrics import repeated_block
 from strophe.operators.scan import (
@@ -197,7 +198,7 @@ def block_to_beats(
 ) -> DataFrame:
     """(keys, medley_start_beat, medley_end_beat, preview_start) of each song with notes.
 
-    The most repeated block of lyric lines, put on the beat grid by line number.
+    The most repeated block of lyric lines (alike once normalized), put on the beat grid by line number.
     Without one, or if note lines and lyric lines do not match, only a preview
     at the first note is given.
     """
@@ -212,7 +213,7 @@ def block_to_beats(
     whole = per_line.groupBy(*keys).agg(
         (F.max("_line") + 1).alias("groups"), F.min_by("first", "_line").alias("first_beat")
     )
-    lines = stage(lines)
+    lines = stage(lines.withColumn("line", normalize_line(F.col("line"))))
     counts = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("lyric_lines"))
     block = repeated_block(lines, keys, "line", "line_no").join(counts, keys)
     fits = whole.join(block, keys).where("groups = lyric_lines")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strophe.functions.music import half_even
 from strophe.operators.folds import ordered_fold
-from strophe.operators.quantiles import linear, quantiles
+from strophe.operators.quantiles import linear, quantiles, ranked_counts
 from strophe.operators.ranges import points_in_intervals
 from strophe.operators.scan import (
     halo,
@@ -103,13 +103,15 @@ def quiet_runs(
     the first loud frame, or at the last frame of the song.
     """
     keys = list(keys)
-    top = quantiles(frames, keys, level, p95=linear(level, 0.95)).where(F.col("p95") >= SILENCE_FLOOR)
-    last = frames.groupBy(*keys).agg(F.max(ordinal).alias("_last"))
-    quiet = frames.join(top.select(*keys, "p95"), keys).where(F.col(level) < F.lit(ratio) * F.col("p95"))
-    runs = islands(quiet.select(*keys, ordinal), keys, ordinal, F.lit(True)).groupBy(*keys, "island").agg(
-        F.min(ordinal).alias("first_frame"), F.max(ordinal).alias("_end"), F.count(F.lit(1)).alias("_n")
-    )
-    return runs.where(F.col("_n") >= min_frames).join(last, keys).select(
+    # One read for the percentile and the last frame, one for the quiet frames.
+    ranked = ranked_counts(frames, keys, level, _last=F.max(ordinal))
+    top = ranked.groupBy(*keys).agg(linear(level, 0.95).alias("p95"), F.max("_last").alias("_last"))
+    top = top.where(F.col("p95") >= SILENCE_FLOOR)
+    quiet = frames.select(*keys, ordinal, level).join(top, keys).where(F.col(level) < F.lit(ratio) * F.col("p95"))
+    runs = islands(quiet.select(*keys, ordinal, "_last"), keys, ordinal, F.lit(True)).groupBy(*keys, "island").agg(
+        F.min(ordinal).alias("first_frame"), F.max(ordinal).alias("_end"), F.count(F.lit(1)).alias("_n"), F.first("_last").alias("_last")
+    )
+    return runs.where(F.col("_n") >= min_frames).select(
         *keys, "first_frame", F.least(F.col("_end") + 1, F.col("_last")).alias("end_frame")
     )
 

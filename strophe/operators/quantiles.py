@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strophe.operators.scan import run_sum, scan
+from strophe.operators.scan import run_sum, scan, total
 
 
 def magnitude_block(value: Column) -> Column:
@@ -24,20 +24,23 @@ def magnitude_block(value: Column) -> Column:
 def from_counts(
     counts: DataFrame, keys: Sequence[str], value: str, block: Column | None = None
 ) -> DataFrame:
-    """Add ``cum``, the last rank of each value, to a table (keys, value, cnt, n)."""
-    blk = magnitude_block(F.col(value)) if block is None else block
-    return scan(counts, keys, [value], blk, cum=run_sum(F.col("cnt")))
+    """Add ``cum``, the last rank of each value, and ``n``, the rows of the key, to a table (keys, value, cnt)."""
+    blk = F.coalesce(magnitude_block(F.col(value)) if block is None else block, F.lit(-1 << 40))  # nulls are first
+    return scan(counts, keys, [value], blk, cum=run_sum(F.col("cnt")), n=total(F.col("cnt")))
 
 
 def ranked_counts(
-    df: DataFrame, keys: Sequence[str], value: str, block: Column | None = None
+    df: DataFrame, keys: Sequence[str], value: str, block: Column | None = None, **more: Column
 ) -> DataFrame:
-    """(keys, value, cnt, n, cum): how often each value occurs and its last rank."""
-    counted = df.where(F.col(value).isNotNull())
-    counts = counted.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
-    cum = from_counts(counts, keys, value, block)
-    sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return cum.join(sizes, list(keys))
+    """(keys, value, cnt, n, cum): how often each value occurs and its last rank.
+
+    ``more`` are further aggregates over the rows of each (keys, value); with them
+    nulls have a row as well, with a count of 0.
+    """
+    counted = df if more else df.where(F.col(value).isNotNull())
+    extra = [c.alias(n) for n, c in more.items()]
+    counts = counted.groupBy(*keys, value).agg(F.count(value).alias("cnt"), *extra)
+    return from_counts(counts, keys, value, block)
 
 
 def _at_rank(value: str, rank: Column) -> Column:

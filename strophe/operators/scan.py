@@ -5,7 +5,8 @@ functions here split each song into blocks of neighbouring rows:
 
 * ``scan``: running values. Each block is scanned on its own, one summary row
   per block is carried forward over the blocks of the song, and the carried
-  value is joined back. Rows are shuffled once, by (keys, block).
+  value is joined back. Rows are shuffled once, by (keys, block); the summaries
+  come from that same exchange, so the input is read once.
 * ``halo``: bounded frames (lag, lead, rolling). Needs a dense ordinal; the few
   rows near a block edge are copied into the neighbour block.
 """
@@ -37,6 +38,11 @@ def run_sum(expr: Column) -> Step:
     return Step("sum", F.coalesce(expr, F.lit(0)))
 
 
+def total(expr: Column) -> Step:
+    """Sum of ``expr`` over all rows of the keys."""
+    return Step("total", F.coalesce(expr, F.lit(0)))
+
+
 def run_count(cond: Column) -> Step:
     """Number of rows so far for which ``cond`` holds."""
     return Step("sum", F.when(cond, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
@@ -85,6 +91,8 @@ def lead(expr: Column) -> Step:
 def _local(step: Step, w: Window) -> Column:
     if step.kind == "sum":
         return F.sum(step.expr).over(w.rowsBetween(_LO, 0))
+    if step.kind == "total":
+        return F.lit(0)
     if step.kind == "max":
         return F.max(step.expr).over(w.rowsBetween(_LO, 0))
     if step.kind == "max_before":
@@ -97,7 +105,7 @@ def _local(step: Step, w: Window) -> Column:
 
 
 def _summary(step: Step, order: Sequence[str]) -> Column:
-    if step.kind == "sum":
+    if step.kind in ("sum", "total"):
         return F.sum(step.expr)
     if step.kind in ("max", "max_before"):
         return F.max(step.expr)
@@ -109,6 +117,8 @@ def _carry(step: Step, col: str, w: Window) -> Column:
     before = w.rowsBetween(_LO, -1)
     if step.kind == "sum":
         return F.sum(col).over(before)
+    if step.kind == "total":
+        return F.sum(col).over(w.rowsBetween(_LO, _HI))
     if step.kind in ("max", "max_before"):
         return F.max(col).over(before)
     if step.kind == "next":
@@ -119,6 +129,8 @@ def _carry(step: Step, col: str, w: Window) -> Column:
 def _combine(step: Step, local: Column, carried: Column) -> Column:
     if step.kind == "sum":
         out = local + F.coalesce(carried, F.lit(0))
+    elif step.kind == "total":
+        out = carried
     elif step.kind in ("max", "max_before"):
         out = F.greatest(local, carried)
     else:
@@ -126,6 +138,23 @@ def _combine(step: Step, local: Column, carried: Column) -> Column:
     return out.getField("v") if step.unwrap else out
 
 
+def _exchanged(df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
+    """``df`` with its block, exchanged by (keys, block) in a form that all uses share.
+
+    Columns go through the exchange in one array, so that a use of few columns does
+    not become an exchange of its own below which other columns are pruned. Rows with
+    a null key or block have no place and go here, alike for all uses, not in a join.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    body = F.array(F.struct(*[F.col(c) for c in rest])) if rest else F.array(F.struct(F.lit(0).alias("_none")))
+    placed = df.select(*keys, block.alias("_blk"), body.alias("_row"))
+    for c in [*keys, "_blk"]:
+        placed = placed.where(F.col(c).isNotNull())
+    sent = placed.repartition(*keys, "_blk")
+    row = F.element_at("_row", 1)
+    return sent.select(*keys, "_blk", *[row.getField(c).alias(c) for c in rest], F.size("_row").alias("_one"))
+
+
 def scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -138,12 +167,15 @@ def scan(
     ``order`` must be total within the keys. ``block`` must be non-null, never
     decrease along ``order``, and bound the rows that share one value.
     """
-    rows = df.withColumn("_blk", block)
     at = [*keys, "_blk"]
+    rows = _exchanged(df, keys, block)
     w = Window.partitionBy(*at).orderBy(*order)
-    local = rows.select("*", *[_local(s, w).alias(f"_l_{n}") for n, s in steps.items()])
+    local = rows.drop("_one").select("*", *[_local(s, w).alias(f"_l_{n}") for n, s in steps.items()])
 
-    sums = rows.groupBy(*at).agg(*[_summary(s, order).alias(f"_s_{n}") for n, s in steps.items()])
+    # Every use reads ``_row``: sums that need no column read it for its size.
+    sums = rows.groupBy(*at).agg(
+        *[_summary(s, order).alias(f"_s_{n}") for n, s in steps.items()], F.sum("_one").alias("_rows")
+    ).where("_rows > 0")
     wb = Window.partitionBy(*keys).orderBy("_blk")
     carried = sums.select(
         *at, *[_carry(s, f"_s_{n}", wb).alias(f"_c_{n}") for n, s in steps.items()]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strophe.functions.music import half_even
@@ -135,6 +135,15 @@ def disagreements(df: DataFrame, keys: Sequence[str], reading: str) -> DataFrame
     return votes.where(F.size("_v") > 1).select(*keys, F.concat_ws(", ", shown).alias("votes"))
 
 
+def character_quality(char_scores: str | None) -> Column:
+    """Mean of the character scores that are not null; null without any."""
+    if char_scores is None:
+        return F.lit(None).cast("double")
+    known = F.filter(char_scores, lambda s: s.isNotNull())
+    total = F.aggregate(F.transform(known, lambda s: s.cast("double")), F.lit(0.0), lambda a, s: a + s)
+    return F.when(F.size(known) > 0, total / F.size(known))
+
+
 def best_candidate(
     df: DataFrame,
     keys: Sequence[str],
@@ -142,20 +151,26 @@ def best_candidate(
     score: Column,
     middle: Column,
     order: str,
+    char_scores: str | None = None,
 ) -> DataFrame:
     """One row per key: the best reading among those that won the vote.
 
     Highest score, then nearest to the median midpoint of the winning readings,
-    then earliest. ``score`` is null where there is none.
+    then earliest. The score is the mean of the array ``char_scores`` where it has
+    any, else ``score``, which is null where there is none. A key has a row for each
+    run, so its rows are few; they are exchanged twice, by (key, reading) and by key.
     """
     keys = list(keys)
-    winners = majority_vote(df, keys, reading, order).select(*keys, F.col("winner").alias(reading))
-    rows = df.join(winners, [*keys, reading]).withColumn("_mid", middle)
-    mids = medians(rows, keys, "_mid", "_median").select(*keys, "_median")
-    ranked = rows.join(mids, keys)
-    key = F.struct(-F.coalesce(score, F.lit(-1.0)), F.abs(F.col("_mid") - F.col("_median")), F.col(order))
+    same = Window.partitionBy(*keys, reading)
+    rows = df.withColumns({"_c": F.count(F.lit(1)).over(same), "_first": F.min(order).over(same), "_mid": middle})
+    every = Window.partitionBy(*keys)
+    rows = rows.withColumn("_won", F.min(F.struct(-F.col("_c"), "_first")).over(every))
+    rows = rows.where(F.col("_won") == F.struct(-F.col("_c"), "_first"))
+    rows = rows.withColumn("_median", F.percentile("_mid", F.lit(0.5)).over(every))
+    quality = F.coalesce(character_quality(char_scores), score, F.lit(-1.0))
+    key = F.struct(-quality, F.abs(F.col("_mid") - F.col("_median")), F.col(order))
     others = [c for c in df.columns if c not in keys]
-    return ranked.groupBy(*keys).agg(F.min_by(F.struct(*others), key).alias("_r")).select(*keys, "_r.*")
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*others), key).alias("_r")).select(*keys, "_r.*")
 
 
 def median_candidate(
@@ -164,26 +179,26 @@ def median_candidate(
     matches: Column,
     start: str,
     end: str,
-    quality: Column,
     order: str,
+    char_scores: str | None = None,
 ) -> DataFrame:
     """One row per key: the candidate closest to the median start and end.
 
-    Only candidates for which ``matches`` holds count, or all where none does;
-    equal distances go to the better quality, then to the earlier one.
+    Only candidates for which ``matches`` holds count, or all where none does; equal
+    distances go to the better mean of the array ``char_scores`` (-1 without any; the
+    score of the whole word does not count here), then to the earlier one. A key has
+    a row for each run, so its rows are few; one exchange brings them together.
     """
     keys = list(keys)
-    some = df.groupBy(*keys).agg(F.bool_or(matches).alias("_any"))
-    rows = df.join(some, keys).where(matches | ~F.col("_any"))
-    starts = medians(rows, keys, start, "_ms").select(*keys, "_ms")
-    ends = medians(rows, keys, end, "_me").select(*keys, "_me")
+    every = Window.partitionBy(*keys)
+    rows = df.withColumn("_any", F.bool_or(matches).over(every)).where(matches | ~F.col("_any"))
+    rows = rows.withColumns(
+        {"_ms": F.percentile(start, F.lit(0.5)).over(every), "_me": F.percentile(end, F.lit(0.5)).over(every)}
+    )
     far = F.abs(F.col(start) - F.col("_ms")) + F.abs(F.col(end) - F.col("_me"))
-    key = F.struct(far, -F.coalesce(quality, F.lit(-1.0)), F.col(order))
+    key = F.struct(far, -F.coalesce(character_quality(char_scores), F.lit(-1.0)), F.col(order))
     others = [c for c in df.columns if c not in keys]
-    return (
-        rows.join(starts, keys).join(ends, keys)
-        .groupBy(*keys).agg(F.min_by(F.struct(*others), key).alias("_r")).select(*keys, "_r.*")
-    )
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*others), key).alias("_r")).select(*keys, "_r.*")
 
 
 # ---- tempo -------------------------------------------------------------------------

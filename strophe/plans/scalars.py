@@ -476,21 +476,30 @@ def _(spark, sf):
     "validate_rows",
     """WITH c AS (SELECT c_custkey, c_custkey % 5 <> 0 AS has_media, CASE WHEN c_custkey % 7 = 0 THEN '  ' ELSE c_name END AS title,
         CASE WHEN c_nationkey % 6 = 0 THEN NULL ELSE c_mktsegment END AS artist, CASE WHEN c_acctbal < 0 THEN '' ELSE 'x' END AS lyrics,
-        CASE WHEN c_custkey % 9 = 0 THEN 'split' ELSE 'full' END AS mode FROM customer)
-    SELECT c_custkey, CASE WHEN NOT has_media THEN 'Please upload an audio or video file first.' WHEN mode = 'split' THEN NULL
-      WHEN trim(coalesce(title, '')) = '' THEN 'Please enter a song title.' WHEN trim(coalesce(artist, '')) = '' THEN 'Please enter an artist name.'
-      WHEN trim(lyrics) = '' THEN 'Please paste the lyrics.' END AS problem FROM c""",
-)
-def _(spark, sf):
-    k = F.col("c_custkey")
+        CASE WHEN c_custkey % 9 = 0 THEN 'split' ELSE 'full' END AS mode,
+        CASE c_custkey % 4 WHEN 0 THEN 'Song.MP3' WHEN 1 THEN 'a.b/take.2.ogg' WHEN 2 THEN 'clip.webm' ELSE CASE WHEN c_nationkey % 2 = 0 THEN '.mp3' ELSE 'notes.txt' END END AS media,
+        CAST(c_acctbal * 300000 AS BIGINT) AS size, CASE c_nationkey % 3 WHEN 0 THEN 'c.JPEG' WHEN 1 THEN 'c.png' END AS cover,
+        CASE c_nationkey % 3 WHEN 0 THEN CAST(c_acctbal * 250000 AS BIGINT) WHEN 1 THEN 9 END AS cover_size FROM customer)
+    SELECT c_custkey, CASE WHEN NOT has_media THEN 'no_media' WHEN mode <> 'split' AND trim(coalesce(title, '')) = '' THEN 'no_title'
+      WHEN mode <> 'split' AND trim(coalesce(artist, '')) = '' THEN 'no_artist' WHEN mode <> 'split' AND trim(lyrics) = '' THEN 'no_lyrics'
+      WHEN media IN ('.mp3', 'notes.txt') THEN 'media_type' WHEN size > 2147483648 THEN 'media_size'
+      WHEN cover = 'c.png' THEN 'cover_type' WHEN cover_size > 2147483648 THEN 'cover_size' END AS problem FROM c""",
+)
+def _(spark, sf):
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    odd = F.when(n % 2 == 0, ".mp3").otherwise("notes.txt")
     return table(spark, sf, "customer").select(
         "c_custkey",
         text.first_problem(
             k % 5 != 0,
             F.when(k % 7 == 0, "  ").otherwise(F.col("c_name")),
-            F.when(F.col("c_nationkey") % 6 != 0, F.col("c_mktsegment")),
+            F.when(n % 6 != 0, F.col("c_mktsegment")),
             F.when(F.col("c_acctbal") < 0, "").otherwise("x"),
             F.when(k % 9 == 0, "split").otherwise("full"),
+            F.when(k % 4 == 0, "Song.MP3").when(k % 4 == 1, "a.b/take.2.ogg").when(k % 4 == 2, "clip.webm").otherwise(odd),
+            F.round(F.col("c_acctbal") * 300000).cast("long"),
+            F.when(n % 3 == 0, "c.JPEG").when(n % 3 == 1, "c.png"),
+            F.when(n % 3 == 0, F.round(F.col("c_acctbal") * 250000).cast("long")).when(n % 3 == 1, 9),
         ).alias("problem"),
     )
 

@@ -295,7 +295,7 @@ def _(spark, sf):
     first = numbered.groupBy("song", "line_no").agg(F.min_by("pitch", "pos").alias("p"))
     shown = F.concat(F.lit("w"), (F.col("p") % 4).cast("string"), F.when(F.col("line_no") % 2 == 0, "!").otherwise(""))
     kept = first.where(~((F.col("song") % 5 == 0) & (F.col("line_no") == 7)))
-    lines = kept.select("song", F.col("line_no").alias("_n"), normalize_line(shown).alias("line"))
+    lines = kept.select("song", F.col("line_no").alias("_n"), shown.alias("line"))
     dense = O.dense_order(lines, ["song"], ["_n"], F.floor(F.col("_n") / 4096), "line_no")
     out = G.block_to_beats(notes, dense, headers.select("song", "bpm", "gap"), ["song"], "pos")
     return out.withColumn("preview_start", F.round("preview_start", 6))

@@ -178,10 +178,8 @@ def _(spark, sf):
     SELECT song, day, id, kind FROM r WHERE rn = 1""",
 )
 def _(spark, sf):
-    rows = _votes(spark, sf).withColumn("whole", F.rint("amp"))
-    out = S.median_candidate(
-        rows, ["song", "day"], F.col("kind") == "view", "midi", "whole", F.col("conf"), "id"
-    )
+    rows = _votes(spark, sf).withColumns({"whole": F.rint("amp"), "scores": F.array("conf", F.lit(None).cast("double"), "conf")})
+    out = S.median_candidate(rows, ["song", "day"], F.col("kind") == "view", "midi", "whole", "id", "scores")
     return out.select("song", "day", "id", "kind")
 
 

@@ -3,15 +3,11 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from strophe.plans.registry import CHECKS
 from tools.check import duck, rows_of
 
-CHECKED = [
-    "ms_to_beats", "word_similarity", "chars_to_words", "parse_note_lines", "parse_rest_lines", "parse_headers",
-    "render_edited", "read_corpus", "ladder_median", "activity_threshold", "chunk_rate", "reassemble_lyrics",
-    "diff_report", "overlap_join", "orphan_frames", "nearest_interval", "pause_chunks", "top_candidates",
-    "gap_sessions", "quiet_runs", "generate_charts", "repeated_block", "interpolate_gaps", "fill_intervals",
-    "split_shared", "edit_merge", "copy_to_repeats", "band_energy", "stream_quiet_runs", "stream_sessions",
-]
+queries()  # registers them
+CHECKED = sorted(CHECKS)
 
 
 @pytest.mark.parametrize("name", CHECKED)

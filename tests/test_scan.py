@@ -115,3 +115,29 @@ def test_one_very_long_interval_among_short_ones(spark):
     points = spark.createDataFrame([(1, 2e9), (1, 10.5), (1, 10.6)], "k long, t double")
     hits = R.points_in_intervals(points, a, ["k"], "t", ("as", "ae"), 1.0).collect()
     assert sorted((r.a, r.t) for r in hits) == [(10, 10.5), (900, 10.5), (900, 10.6), (900, 2e9)]
+
+
+def plan_of(df):
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    lines = text.splitlines()
+    exchanges = [x for x in lines if " Exchange " in x and "ReusedExchange" not in x]
+    return len([x for x in lines if "Scan " in x]), len(exchanges)
+
+
+def test_a_scan_reads_its_input_once(spark, small):
+    events = spark.read.parquet(f"{small}/events.parquet")
+    steps = {"n": S.position(), "p": S.lag(F.col("value")), "all": S.total(F.lit(1).cast("long"))}
+    df = S.scan(events, ["user_id"], ["event_id"], S.ordinal_block("event_id", 64), **steps)
+    reads, exchanges = plan_of(df)
+    assert reads == 1 and exchanges <= 3
+    sizes = {r.user_id: r["count"] for r in events.groupBy("user_id").count().collect()}
+    assert all(r["all"] == sizes[r.user_id] for r in df.collect())
+
+
+def test_quiet_runs_reads_twice_at_most(spark, small):
+    from strophe.operators import ordered as O
+
+    events = spark.read.parquet(f"{small}/events.parquet").withColumn("level", F.abs("value"))
+    reads, exchanges = plan_of(O.quiet_runs(events, ["user_id"], "event_id", "level", 2, 0.9))
+    assert reads <= 2 and exchanges <= 8

@@ -255,3 +255,18 @@ def test_a_silent_syllable_keeps_its_fallback(spark):
 def test_character_runs_and_fragments(spark, rule, given, left):
     rows = T.drop_artefacts(frame(spark, [(given,)], "text string"), "text", rule(F.col("text"))).collect()
     assert [r.text for r in rows] == ([] if left is None else [left])
+
+
+def test_character_scores_choose_word_and_characters(spark):
+    """The mean of the character scores counts before the word's own; timing looks at characters alone."""
+    schema = "song long, run long, pos long, word string, start double, end double, score double, chars array<double>"
+    rows = [(1, 0, 0, "one", 0.0, 1.0, 0.9, [0.1, None]), (1, 1, 0, "one", 0.0, 1.0, 0.1, [0.4, 0.8]), (1, 2, 0, "one", 0.0, 1.0, 0.5, [])]
+    words = frame(spark, rows, schema)
+    (won,) = C.consensus_runs(words, ["song"], "run", "pos", "word", "chars").collect()
+    assert (won.run, won.chars) == (1, [0.4, 0.8])
+    (plain,) = C.consensus_runs(words, ["song"], "run", "pos", "word").collect()
+    assert plain.run == 0
+    (timed,) = C.consensus_timing(words, ["song"], "run", "pos", "word", "chars").collect()
+    assert (timed.run, timed.chars) == (1, [0.4, 0.8])
+    (first,) = C.consensus_timing(words, ["song"], "run", "pos", "word").collect()
+    assert first.run == 0  # word scores do not count
