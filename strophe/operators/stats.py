@@ -35,15 +35,27 @@ def ladder_median(
     confidence: str,
     ladder: Sequence[float] = CONFIDENCE_LADDER,
     block: Column | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """(keys, median, used): the median over the most confident rows there are.
 
     The first threshold that any positive value passes decides. Keys without a
-    single usable row are left out; the caller fills in its default.
+    single usable row are left out; the caller fills in its default. ``bounded``
+    says that a key has few values, as the frames of one word: one aggregate then
+    holds them, with a single exchange.
     """
     keys = list(keys)
     tallies = [f"_n{i}" for i in range(len(ladder))]
     usable = df.where((F.col(value) > 0) & (F.col(confidence) > min(ladder)))
+    if bounded:
+        passed = [F.col(confidence) > t for t in ladder]
+        found = usable.groupBy(*keys).agg(
+            *[F.percentile(F.when(c, F.col(value)), F.lit(0.5)).alias(f"_m{i}") for i, c in enumerate(passed)],
+            *[F.count_if(c).alias(n) for c, n in zip(passed, tallies)],
+        )
+        used = F.coalesce(*[F.when(F.col(n) > 0, F.col(n)) for n in tallies])
+        median = F.coalesce(*[F.col(f"_m{i}") for i in range(len(ladder))])
+        return found.select(*keys, median.alias("median"), used.alias("used"))
     counts = usable.groupBy(*keys, value).agg(
         *[F.count_if(F.col(confidence) > t).alias(n) for t, n in zip(ladder, tallies)]
     )
