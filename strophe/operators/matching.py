@@ -22,6 +22,7 @@ from strophe.operators.scan import (
     scan,
 )
 from strophe.operators.stats import ladder_median
+from strophe.session import stage
 
 BPM_TOLERANCE, BEAT_TOLERANCE, DURATION_TOLERANCE, PITCH_TOLERANCE = 2.0, 4, 4, 3
 MIN_ORPHAN_MS = 10
@@ -520,22 +521,34 @@ def preview(
     ``notes`` has note, verse, s, e; ``words`` word, ws, we; ``verses`` verse,
     vs, ve; ``frames`` frame, t. Notes carry the word they claim. Free words
     become orphan rows of the first verse they overlap, or else of the nearest
-    verse as the notes alone span it. Frames count for the notes they lie in;
-    frames of a verse on none of them go to one note of that verse.
+    verse as the notes alone span it. Frames count for the notes and orphans they lie
+    in; frames of a verse on none of these go to one of them, the one that starts
+    nearest to the first such frame, notes before orphans on a tie.
     """
     keys = list(keys)
-    claimed = claim_best_overlap(notes, words, keys, "note", "word", ("s", "e"), ("ws", "we"), width)
-    inner = orphan_words(words, claimed, verses, keys, "word", "verse", ("ws", "we"), ("vs", "ve"), width)
-    rest = except_used(except_used(words, claimed, [*keys, "word"]), inner, [*keys, "word"])
+    notes, words, verses, frames = (stage(t) for t in (notes, words, verses, frames))
+    claimed = stage(claim_best_overlap(notes, words, keys, "note", "word", ("s", "e"), ("ws", "we"), width))
+    inner = stage(orphan_words(words, claimed, verses, keys, "word", "verse", ("ws", "we"), ("vs", "ve"), width))
+    rest = stage(except_used(except_used(words, claimed, [*keys, "word"]), inner, [*keys, "word"]))
     outer = nearest_verse(rest, verses, keys, "word", "verse", ("ws", "we"), ("vs", "ve"), block_width)
+    outer = outer.select(*keys, "word", "verse").join(words.select(*keys, "word", "ws", "we"), [*keys, "word"])
+
+    def held(rows: DataFrame, orphan: bool, id_: str, start: str, end: str) -> DataFrame:
+        both = F.struct(F.lit(orphan).alias("orphan"), F.col(id_).alias("id"))
+        return rows.select(*keys, both.alias("note"), "verse", F.col(start).alias("s"), F.col(end).alias("e"))
+
+    within = stage(held(notes, False, "note", "s", "e").unionByName(held(inner, True, "word", "ws", "we")))
+    beyond = stage(held(outer, True, "word", "ws", "we"))
     on_note = points_in_intervals(
-        frames.select(*keys, "frame", "t"), notes.select(*keys, "note", "s", "e"), keys, "t", ("s", "e"), width
+        frames.select(*keys, "frame", "t"), within.unionByName(beyond), keys, "t", ("s", "e"), width
     ).select(*keys, "note", "frame")
-    strays = orphan_frames(notes, frames, verses, keys, "note", "frame", "verse", ("s", "e"), ("vs", "ve"), "t", width)
+    strays = orphan_frames(within, frames, verses, keys, "note", "frame", "verse", ("s", "e"), ("vs", "ve"), "t", width)
     counts = on_note.unionByName(strays.select(*keys, "note", "frame")).groupBy(*keys, "note").agg(
-        F.count(F.lit(1)).alias("n_frames")
+        F.count(F.lit(1)).alias("_n")
     )
-    rows = notes.select(*keys, "note", "verse").join(claimed, [*keys, "note"], "left").join(counts, [*keys, "note"], "left")
-    sung = rows.select(*keys, "verse", F.col("note").alias("id"), "word", F.coalesce("n_frames", F.lit(0).cast("long")).alias("n_frames"))
-    orphans = inner.select(*keys, "verse", "word").unionByName(outer.select(*keys, "verse", "word"))
-    return with_orphans(sung, orphans.select(*keys, "verse", F.col("word").alias("id"), "word", F.lit(0).cast("long").alias("n_frames")))
+    frames_of = F.coalesce("_n", F.lit(0).cast("long")).alias("n_frames")
+    placed = within.unionByName(beyond).select(*keys, "note", "verse").join(counts, [*keys, "note"], "left")
+    own = claimed.select(*keys, F.struct(F.lit(False).alias("orphan"), F.col("note").alias("id")).alias("note"), F.col("word").alias("_w"))
+    rows = placed.join(own, [*keys, "note"], "left")
+    word = F.when(F.col("note.orphan"), F.col("note.id")).otherwise(F.col("_w")).alias("word")
+    return rows.select(*keys, "verse", F.col("note.id").alias("id"), F.col("note.orphan").alias("orphan"), word, frames_of)
