@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.requireAllClusterKeysForDistribution": "true",
 }
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # shuffle files go with the query that made them
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the settings the operators rely on to a running session."""
@@ -57,12 +59,24 @@ def discard(spark: SparkSession, path: str) -> None:
     place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def stage(df: DataFrame, path: str | None = None) -> DataFrame:
+def stage(df: DataFrame, path: str | None = None, release: bool = False) -> DataFrame:
     """Write a table to the shared folder, or to ``path``, and read it back.
 
     Cuts the lineage where a result is used several times; later steps read only
-    the columns they need, and a lost executor costs no recomputation.
+    the columns they need, and a lost executor costs no recomputation. With ``release``
+    Spark deletes the shuffle files of the write as soon as it is done, not when the
+    driver next collects garbage; ``df`` itself should then not be run again.
     """
-    path = path or fresh_path(df.sparkSession, "stage")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = path or fresh_path(spark, "stage")
+    held = spark.conf.get(CLEANUP, None)
+    if release:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if release and held is None:
+            spark.conf.unset(CLEANUP)
+        elif release:
+            spark.conf.set(CLEANUP, held)
+    return spark.read.schema(df.schema).parquet(path)
