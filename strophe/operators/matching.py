@@ -8,8 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strophe.functions import music
-from strophe.functions.phonetics import word_coverage
+from strophe.functions import music, phonetics
+from strophe.functions.phonetics import EQUAL, MISMATCH, SCORES, word_coverage
 from strophe.functions.text import strip
 from strophe.operators.folds import ordered_fold
 from strophe.operators.ranges import nearest, overlap_join, points_in_intervals
@@ -28,6 +28,7 @@ BPM_TOLERANCE, BEAT_TOLERANCE, DURATION_TOLERANCE, PITCH_TOLERANCE = 2.0, 4, 4,
 MIN_ORPHAN_MS = 10
 WORD_CONFIDENCE = 0.1
 REPORTED_CANDIDATES = 3
+LARGEST_SETS = 8  # letter sets of a song that every text is scored against first
 REPORTED_FAILURES = 20
 
 
@@ -453,30 +454,82 @@ def unused_between(
     )
 
 
+def _sounds_like() -> Column:
+    """A map from each letter with a score of its own to the letters that score above a mismatch with it."""
+    return F.create_map(*[
+        part for x, row in sorted(SCORES.items())
+        for part in (F.lit(x), F.array(*[F.lit(y) for y, score in sorted(row.items()) if score > MISMATCH]))
+    ])
+
+
 def top_candidates(
     unmatched: DataFrame, transcript: DataFrame, keys: Sequence[str], ordinal: str, norm: str, word: str,
-    limit: int = REPORTED_CANDIDATES,
+    limit: int = REPORTED_CANDIDATES, hubs: int = LARGEST_SETS,
 ) -> DataFrame:
     """(keys, ordinal, rank, word, score): the best transcript words for each unmatched one.
 
     A score depends on the set of letters alone, so each song's transcript is
-    reduced to its distinct letter sets and each word text is scored once against
-    those. Of every letter set only the first ``limit`` words can rank, which is
-    exact: they share one score and earlier words go first.
+    reduced to its distinct letter sets. Of every set only the first ``limit`` words can
+    rank, which is exact: they share one score and earlier words go first.
+
+    Texts meet sets through an inverted index of letters, from the sets that hold a
+    letter or one that sounds like it. First each text is scored against a few sets
+    of its song: those with the most letters, those of the first words, the empty
+    one. The score of the ``limit``-th word found is a bar. A set that lacks the letters P
+    of a text of n letters scores at most 1 - (1 - mismatch) |P| / n, so a set that
+    reaches the bar is listed under one of the text's rarest letters, taken until
+    that bound is below it. A set listed under no letter scores a mismatch throughout,
+    and so ranks behind the first words. Texts without letters score 0 everywhere.
     """
     keys = list(keys)
-    letters = F.array_join(F.array_sort(F.array_distinct(F.split(F.col(norm), ""))), "")
-    pools = transcript.select(*keys, word, letters.alias("_pool"))
+    pool_of = F.array_join(F.array_sort(F.array_distinct(F.split(F.col(norm), ""))), "")
+    pools = transcript.select(*keys, word, pool_of.alias("_pool"))
     ranked = scan(
         pools, [*keys, "_pool"], [word], F.floor(F.col(word) / 65536), _k=position()
     ).where(F.col("_k") <= limit)
-    sets = ranked.groupBy(*keys, "_pool").agg(F.array_sort(F.collect_list(word)).alias("_words"))
-    texts = unmatched.select(*keys, norm).distinct()
-    scored = texts.join(sets, keys).withColumn("score", word_coverage(F.col(norm), F.col("_pool")))
-    # Best first; one text keeps its ``limit`` best words, folded as they arrive.
-    rows = scored.select(*keys, norm, F.explode("_words").alias(word), "score")
-    best = top_k(rows, [*keys, norm], [(-F.col("score")).alias("less"), F.col(word).alias("w")], limit)
-    out = unmatched.select(*keys, ordinal, norm).join(best, [*keys, norm])
+    sets = stage(ranked.groupBy(*keys, "_pool").agg(F.array_sort(F.collect_list(word)).alias("_words")))
+    texts = stage(unmatched.select(*keys, norm).distinct())
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        return pairs.withColumn("score", word_coverage(F.col(norm), F.col("_pool")))
+
+    def best(rows: DataFrame) -> DataFrame:
+        """One text keeps its ``limit`` best words: the highest scores, then the earliest."""
+        words = rows.select(*keys, norm, F.explode("_words").alias(word), "score")
+        return top_k(words, [*keys, norm], [(-F.col("score")).alias("less"), F.col(word).alias("w")], limit)
+
+    size = F.struct((-F.length("_pool")).alias("size"), F.col("_pool").alias("pool"))
+    first = F.struct(F.element_at("_words", 1).alias("size"), F.col("_pool").alias("pool"))
+    few = (
+        top_k(sets, keys, [size.alias("of")], hubs).select(*keys, F.col("_t.of.pool").alias("_pool"))
+        .unionByName(top_k(sets, keys, [first.alias("of")], limit).select(*keys, F.col("_t.of.pool").alias("_pool")))
+        .unionByName(sets.where(F.col("_pool") == "").select(*keys, "_pool"))
+        .distinct()
+    )
+    hub_sets = stage(sets.join(few, [*keys, "_pool"]))
+    met = stage(scored(texts.join(hub_sets, keys)))
+    bar = best(met).where(F.col("_at") == limit - 1).select(*keys, norm, (-F.col("_t.less")).alias("_bar"))
+
+    near = F.coalesce(F.try_element_at(_sounds_like(), F.col("_held")), F.array().cast("array<string>"))
+    held = sets.select(*keys, "_pool", F.explode(phonetics.chars_of(F.col("_pool"))).alias("_held"))
+    index = stage(held.select(*keys, "_pool", F.explode(F.concat(F.array("_held"), near)).alias("_c")).distinct())
+    sizes = index.groupBy(*keys, "_c").agg(F.count(F.lit(1)).alias("_sets"))
+
+    letters = F.filter(phonetics.chars_of(F.col(norm)), lambda c: c != " ")
+    spelled = texts.join(bar, [*keys, norm]).select(
+        *keys, norm, "_bar", F.size(letters).alias("_n"), F.explode(letters).alias("_c")
+    ).groupBy(*keys, norm, "_c").agg(
+        F.first("_bar").alias("_bar"), F.first("_n").alias("_n"), F.count(F.lit(1)).alias("_w")
+    )
+    rare = Window.partitionBy(*keys, norm).orderBy("_sets", "_c").rowsBetween(Window.unboundedPreceding, -1)
+    weighed = spelled.join(sizes, [*keys, "_c"], "left").withColumn("_sets", F.coalesce("_sets", F.lit(0)))
+    lacking = F.coalesce(F.sum("_w").over(rare), F.lit(0))
+    bound = F.lit(EQUAL) - F.lit(EQUAL - MISMATCH) * lacking / F.col("_n")
+    wanted = weighed.withColumn("_bound", bound).where((F.col("_bound") > F.col("_bar") - 1e-9) & (F.col("_sets") > 0))
+    reached = wanted.select(*keys, norm, "_c").join(index, [*keys, "_c"]).select(*keys, norm, "_pool").distinct()
+    reached = reached.join(few, [*keys, "_pool"], "left_anti").join(sets, [*keys, "_pool"])
+    found = best(met.select(*keys, norm, "_words", "score").unionByName(scored(reached).select(*keys, norm, "_words", "score")))
+    out = unmatched.select(*keys, ordinal, norm).join(found, [*keys, norm])
     return out.select(
         *keys, ordinal, (F.col("_at") + 1).alias("rank"), F.col("_t.w").alias(word), (-F.col("_t.less")).alias("score")
     )

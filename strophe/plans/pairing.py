@@ -412,23 +412,23 @@ def _(spark, sf):
 @query(
     "top_candidates",
     f"""WITH {roles.WORDS_SQL}, {SCORE_SQL},
-    nw AS (SELECT song, run, pos, strip_accents(lower(word)) AS norm FROM words WHERE run IN (0, 1)),
-    u AS (SELECT song, pos, norm FROM nw WHERE run = 0 AND pos % 10 = 0), tr AS (SELECT song, pos AS word, norm AS wn FROM nw WHERE run = 1),
-    pr AS (SELECT DISTINCT norm AS a, wn AS b FROM u JOIN tr USING (song)),
+    nw AS (SELECT song, run, pos, strip_accents(lower(word)) AS norm FROM words),
+    u AS (SELECT song, run, pos, norm FROM nw), tr AS (SELECT song, run - 1 AS run, pos AS word, norm AS wn FROM nw),
+    pr AS (SELECT DISTINCT norm AS a, wn AS b FROM u JOIN tr USING (song, run)),
     ai AS (SELECT a, i, substr(a, i, 1) AS c FROM (SELECT DISTINCT a FROM pr), range(1, 60) r(i) WHERE i <= length(a)),
     bj AS (SELECT DISTINCT b, substr(b, j, 1) AS c FROM (SELECT DISTINCT b FROM pr), range(1, 60) r(j) WHERE j <= length(b)),
     bs AS (SELECT b, list(c) AS pool FROM bj GROUP BY b),
     cs AS (SELECT x.c AS x, y.c AS y, CASE WHEN x.c = y.c THEN 1.0::DOUBLE ELSE coalesce(s, -0.3::DOUBLE) END AS s FROM (SELECT DISTINCT c FROM ai) x CROSS JOIN (SELECT DISTINCT c FROM bj) y LEFT JOIN pairs p ON p.x = x.c AND p.y = y.c),
     best AS (SELECT x, b, max(s) AS m FROM cs JOIN bj ON bj.c = y GROUP BY x, b),
     sc AS (SELECT pr.a, pr.b, list_reduce(list_prepend(0.0::DOUBLE, list(m ORDER BY i)), lambda p, q: p + q) / count(*) AS score FROM pr JOIN ai ON ai.a = pr.a JOIN best ON best.x = ai.c AND best.b = pr.b GROUP BY pr.a, pr.b),
-    rk AS (SELECT u.song, u.pos, tr.word, score, row_number() OVER (PARTITION BY u.song, u.pos ORDER BY score DESC, tr.word) AS rank FROM u JOIN tr USING (song) JOIN sc ON sc.a = norm AND sc.b = wn)
-    SELECT song, pos, CAST(rank AS INTEGER) AS rank, word, round(score, 6) AS score FROM rk WHERE rank <= 3""",
+    rk AS (SELECT u.song, u.run, u.pos, tr.word, score, row_number() OVER (PARTITION BY u.song, u.run, u.pos ORDER BY score DESC, tr.word) AS rank FROM u JOIN tr USING (song, run) JOIN sc ON sc.a = norm AND sc.b = wn)
+    SELECT song, run, pos, CAST(rank AS INTEGER) AS rank, word, round(score, 6) AS score FROM rk WHERE rank <= 3""",
 )
 def _(spark, sf):
+    """The words of each turn that sound most like those of the turn before it."""
     words = roles.run_words(spark, sf).select("song", "run", "pos", normalize_token(F.col("word")).alias("norm"))
-    unmatched = words.where("run = 0 AND pos % 10 = 0").select("song", "pos", "norm")
-    transcript = words.where("run = 1").select("song", F.col("pos").alias("word"), "norm")
-    out = M.top_candidates(unmatched, transcript, ["song"], "pos", "norm", "word")
+    transcript = words.select("song", (F.col("run") - 1).alias("run"), F.col("pos").alias("word"), "norm")
+    out = M.top_candidates(words, transcript, ["song", "run"], "pos", "norm", "word")
     return out.withColumn("score", F.round("score", 6))
 
 
