@@ -181,10 +181,10 @@ def _(spark, sf):
     )
 
 
-# Notes, words and verses on the timeline of each user.
+# Notes, words and verses on the timeline of each user: every third event is a note, the others are words.
 _SPANS = roles.FRAMES_SQL + """,
 nt AS (SELECT song, id AS note, t AS s, t + 40000 AS e, CAST(floor(t / 432000) AS BIGINT) AS verse FROM frames WHERE id % 3 = 0),
-wd AS (SELECT song, id AS word, t - 20000 AS ws, t + 30000 AS we FROM frames WHERE id % 3 = 1),
+wd AS (SELECT song, id AS word, t - 20000 AS ws, t + 30000 AS we FROM frames WHERE id % 3 <> 0),
 vs AS (SELECT song, verse, arg_min(s, note) AS vs, arg_max(e, note) AS ve FROM nt GROUP BY song, verse),
 cl AS (SELECT word FROM wd WHERE word % 2 = 0),
 fr AS (SELECT song, id AS frame, t FROM frames)"""
@@ -196,7 +196,7 @@ def _spans(spark, sf):
         "song", F.col("id").alias("note"), F.col("t").alias("s"), (F.col("t") + 40000).alias("e"),
         F.floor(F.col("t") / 432000).alias("verse"),
     )
-    words = fr.where("id % 3 = 1").select(
+    words = fr.where("id % 3 <> 0").select(
         "song", F.col("id").alias("word"), (F.col("t") - 20000).alias("ws"), (F.col("t") + 30000).alias("we")
     )
     verses = notes.groupBy("song", "verse").agg(F.min_by("s", "note").alias("vs"), F.max_by("e", "note").alias("ve"))

@@ -162,8 +162,9 @@ _PAIR_VALUES = ", ".join(
 SCORE_SQL = f"pairs(x, y, s) AS (VALUES {_PAIR_VALUES})"
 
 
-# Similarity of the colour and the object in each part name, over distinct names.
-_NAME_SQL = """names AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part),
+# Similarity of each two neighbouring words of the part names, over distinct pairs.
+_NAME_SQL = """names AS (SELECT DISTINCT w[k] AS a, w[k + 1] AS b
+  FROM (SELECT w, unnest(range(1, len(w))) AS k FROM (SELECT string_split(p_name, ' ') AS w FROM part))),
 cells AS (SELECT a, b, i, j, CASE WHEN substr(a, i, 1) = substr(b, j, 1) THEN 1.0::DOUBLE ELSE coalesce(p.s, -0.3::DOUBLE) END AS s
   FROM names, range(1, 60) r(i), range(1, 60) q(j) LEFT JOIN pairs p ON p.x = substr(a, i, 1) AND p.y = substr(b, j, 1)
   WHERE i <= length(a) AND j <= length(b)),
@@ -173,7 +174,9 @@ bwd AS (SELECT a, b, avg(m) AS g FROM (SELECT a, b, j, max(s) AS m FROM cells GR
 
 def _name_pairs(spark, sf):
     words = F.split("p_name", " ")
-    return table(spark, sf, "part").select(words[0].alias("a"), words[1].alias("b")).distinct()
+    pairs = F.arrays_zip(words.alias("a"), F.slice(words, 2, F.size(words)).alias("b"))
+    neighbours = table(spark, sf, "part").select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+    return neighbours.where("b IS NOT NULL").distinct()
 
 
 @query(
@@ -365,26 +368,32 @@ def _(spark, sf):
 @query(
     "offset_times",
     "WITH " + roles.TIMED_SQL
-    + """SELECT song, run, pos, start_ms / 1000.0 + run * 30 AS start_s, end_ms / 1000.0 + run * 30 AS end_s,
-      round(CASE WHEN pos % 3 = 0 THEN NULL ELSE start_ms / 1000.0 + run * 30 END, 6) AS first_char_s FROM timed""",
+    + """, c AS (SELECT *, list_transform(range(length(word)), lambda i: CASE WHEN (pos + i) % 3 <> 0 THEN start_ms / 1000.0::DOUBLE + i * 0.01::DOUBLE + run * 30 END) AS cs FROM timed)
+    SELECT song, run, pos, start_ms / 1000.0 + run * 30 AS start_s, end_ms / 1000.0 + run * 30 AS end_s,
+      CAST(len(cs) AS INTEGER) AS chars, CAST(list_count(cs) AS INTEGER) AS timed_chars,
+      round(list_min(cs), 6) AS first_char_s, round(list_max(cs), 6) AS last_char_s FROM c""",
 )
 def _(spark, sf):
+    """Every word and each of its letters, two thirds of them timed, moved by the start of its run."""
     start, end = F.col("start_ms") / F.lit(1000.0), F.col("end_ms") / F.lit(1000.0)
+
+    def letter(char, i):
+        timed = (F.col("pos") + i) % 3 != 0
+        return F.struct(
+            char.alias("char"), F.when(timed, start + i * 0.01).alias("start"),
+            F.when(timed, start + (i + 1) * 0.01).alias("end"), F.col("score").alias("score"),
+        )
+
     words = roles.timed_words(spark, sf).select(
         "song", "run", "pos", start.alias("start"), end.alias("end"),
-        F.array(
-            F.struct(
-                F.substring("word", 1, 1).alias("char"),
-                F.when(F.col("pos") % 3 != 0, start).alias("start"),
-                F.when(F.col("pos") % 3 != 0, end).alias("end"),
-                F.col("score").alias("score"),
-            )
-        ).alias("characters"),
+        F.transform(F.split("word", ""), letter).alias("characters"),
     )
     out = W.offset_times(words, F.col("run") * F.lit(30.0))
+    starts = F.col("characters")["start"]
     return out.select(
-        "song", "run", "pos", F.col("start").alias("start_s"), F.col("end").alias("end_s"),
-        F.round(F.col("characters")[0]["start"], 6).alias("first_char_s"),
+        "song", "run", "pos", F.col("start").alias("start_s"), F.col("end").alias("end_s"), F.size("characters").alias("chars"),
+        F.size(F.filter(starts, lambda x: x.isNotNull())).alias("timed_chars"),
+        F.round(F.array_min(starts), 6).alias("first_char_s"), F.round(F.array_max(starts), 6).alias("last_char_s"),
     )
 
 
