@@ -217,7 +217,16 @@ def _(spark, sf):
     )
 
 
-@query("claim_best_overlap")
+@query(
+    "claim_best_overlap",
+    "WITH RECURSIVE " + _SPANS + """,
+    pr AS (SELECT song, note, word, least(e, we) - greatest(s, ws) AS shared FROM nt JOIN wd USING (song) WHERE e > ws AND s < we AND least(e, we) > greatest(s, ws)),
+    cand AS (SELECT song, note, list(word ORDER BY shared DESC, word) AS words, row_number() OVER (PARTITION BY song ORDER BY note) AS k FROM pr GROUP BY song, note),
+    go AS (SELECT song, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS note, CAST(NULL AS BIGINT) AS word, CAST([] AS BIGINT[]) AS taken FROM cand WHERE k = 1
+      UNION ALL SELECT song, k, note, word, CASE WHEN word IS NULL THEN taken ELSE list_append(taken, word) END
+      FROM (SELECT go.song, cand.k, cand.note, go.taken, list_filter(cand.words, lambda x: NOT list_contains(go.taken, x))[1] AS word FROM go JOIN cand ON cand.song = go.song AND cand.k = go.k + 1))
+    SELECT song, note, word FROM go WHERE word IS NOT NULL""",
+)
 def _(spark, sf):
     """Each note in turn claims the free word it overlaps most."""
     notes, words, _, _ = _spans(spark, sf)
@@ -290,7 +299,17 @@ def _(spark, sf):
     return M.nearest_verse(words, verses, ["song"], "word", "verse", ("ws", "we"), ("vs", "ve"), roles.DAY)
 
 
-@query("match_by_label")
+@query(
+    "match_by_label",
+    "WITH RECURSIVE " + roles.FRAMES_SQL + """,
+    a AS (SELECT song, trim(kind) AS label, id, t, row_number() OVER (PARTITION BY song, trim(kind) ORDER BY id) AS k FROM frames WHERE id % 2 = 0),
+    b AS (SELECT song, trim(kind) AS label, list({'i': id, 't': t}) AS bs FROM frames WHERE id % 2 = 1 GROUP BY ALL),
+    go AS (SELECT song, label, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS a_id, CAST(NULL AS BIGINT) AS b_id, bs AS free FROM b
+      UNION ALL SELECT song, label, k, a_id, pick.i, list_filter(free, lambda x: x.i <> pick.i)
+      FROM (SELECT go.song, go.label, a.k, a.id AS a_id, go.free, list_sort(list_transform(go.free, lambda x: {'d': abs(x.t - a.t), 'i': x.i}))[1] AS pick
+        FROM go JOIN a ON a.song = go.song AND a.label = go.label AND a.k = go.k + 1 WHERE len(go.free) > 0))
+    SELECT song, a_id, b_id FROM go WHERE b_id IS NOT NULL""",
+)
 def _(spark, sf):
     """Notes with the same label paired nearest first, each used once."""
     fr = roles.frames(spark, sf).select("song", F.col("kind").alias("label"), F.col("t").alias("at"), "id")

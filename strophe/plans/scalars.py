@@ -275,14 +275,34 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.looks_like_chart(txt).alias("is_chart"))
 
 
-@query("strip_char_runs")
+@query(
+    "strip_char_runs",
+    r"""WITH c AS (SELECT doc_id, text, regexp_extract_all(text, '(?s).') AS cs FROM documents WHERE text <> ''),
+    r AS (SELECT doc_id, text, unnest(cs) AS ch, generate_subscripts(cs, 1) AS i FROM c),
+    g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, ch ORDER BY i) AS grp FROM r),
+    runs AS (SELECT doc_id, ch, any_value(text) AS text, min(i) AS i, count(*) AS n FROM g GROUP BY doc_id, ch, grp),
+    l AS (SELECT *, n >= 8 AND NOT regexp_full_match(ch, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]') AS long FROM runs),
+    m AS (SELECT *, lag(long) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM l),
+    o AS (SELECT doc_id, any_value(text) AS old, string_agg(CASE WHEN ch = chr(65533) AND after THEN '' WHEN long THEN ' ' ELSE repeat(ch, n) END, '' ORDER BY i) AS text FROM m GROUP BY doc_id)
+    SELECT doc_id, text FROM o WHERE text = old OR regexp_matches(text, '[^\s\x0b\x1c-\x1f\x{85}\p{Z}]')
+    UNION ALL SELECT doc_id, text FROM documents WHERE text = ''""",
+)
 def _(spark, sf):
     """Long character runs removed from every document; emptied rows dropped."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return text.drop_artefacts(docs, "text", text.strip_char_runs(F.col("text")))
 
 
-@query("strip_fragments")
+@query(
+    "strip_fragments",
+    r"""WITH c AS (SELECT doc_id, text, regexp_extract_all(text, '(?is)theau|rtion|eau|tion|.') AS cs FROM documents WHERE text <> ''),
+    r AS (SELECT doc_id, text, unnest(cs) AS part, generate_subscripts(cs, 1) AS i FROM c),
+    n AS (SELECT *, lower(part) IN ('eau', 'tion') AS gone, coalesce(regexp_matches(right(lag(part) OVER w, 1), '[\p{L}\p{N}]') AND regexp_matches(left(lead(part) OVER w, 1), '[\p{L}\p{N}]'), FALSE) AS inside
+      FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    o AS (SELECT doc_id, any_value(text) AS old, string_agg(CASE WHEN NOT gone THEN part WHEN inside THEN ' ' ELSE '' END, '' ORDER BY i) AS text FROM n GROUP BY doc_id)
+    SELECT doc_id, text FROM o WHERE text = old OR regexp_matches(text, '[^\s\x0b\x1c-\x1f\x{85}\p{Z}]')
+    UNION ALL SELECT doc_id, text FROM documents WHERE text = ''""",
+)
 def _(spark, sf):
     """Known fragments removed; here the syllables that the prose is made of."""
     docs = table(spark, sf, "documents").select("doc_id", "text")

@@ -132,13 +132,30 @@ def _runs(spark, sf):
     return O.pitch_runs(rows, ["song", "syl"], "n", "t", "midi", "fallback", gap=86400.0, tolerance=12)
 
 
-@query("pitch_runs")
+_RUNS = roles.FRAMES_N_SQL + """,
+fr AS (SELECT song, n, t, midi, amp, conf, CAST(floor(t / 864000) AS BIGINT) AS syl, row_number() OVER (PARTITION BY song, floor(t / 864000) ORDER BY n) AS k FROM framesn),
+go AS (SELECT song, syl, k, n, t, midi, amp, conf, CAST(0 AS BIGINT) AS run, [midi] AS ps FROM fr WHERE k = 1
+  UNION ALL SELECT song, syl, k, n, t, midi, amp, conf, CASE WHEN joins THEN run ELSE run + 1 END, CASE WHEN joins THEN list_sort(list_append(ps, midi)) ELSE [midi] END
+  FROM (SELECT fr.*, go.run, go.ps, fr.t - go.t <= 86400 AND abs(fr.midi - round_even((ps[(len(ps) - 1) // 2 + 1] + ps[len(ps) // 2 + 1]) / 2.0, 0)) <= 12 AS joins
+    FROM go JOIN fr ON fr.song = go.song AND fr.syl = go.syl AND fr.k = go.k + 1))"""
+
+
+@query("pitch_runs", "WITH RECURSIVE " + _RUNS + " SELECT song, syl, n, midi, run FROM go")
 def _(spark, sf):
     """Runs of frames near the median pitch of the run so far."""
     return _runs(spark, sf).select("song", "syl", "n", "midi", "run")
 
 
-@query("merge_short_runs")
+@query(
+    "merge_short_runs",
+    "WITH RECURSIVE " + _RUNS + """,
+    ru AS (SELECT song, syl, run, min(t) AS a, max(t) AS b FROM go GROUP BY song, syl, run),
+    nu AS (SELECT *, sum(CASE WHEN b - a >= 14400 OR run = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY song, syl ORDER BY run) AS num FROM ru),
+    le AS (SELECT song, syl, max(b) FILTER (num = 1) - min(a) FILTER (num = 1) AS len, max(num) AS k FROM nu GROUP BY song, syl),
+    mp AS (SELECT song, syl, run, CAST(CASE WHEN num = 1 AND k > 1 AND len < 14400 THEN 2 ELSE num END AS BIGINT) AS note FROM nu JOIN le USING (song, syl))
+    SELECT song, syl, note, min(t) AS start, max(t) AS "end", count(*) AS frames,
+      CAST(round_even(sum(midi * greatest(0.001, amp * conf)) / sum(greatest(0.001, amp * conf)), 0) AS BIGINT) AS pitch FROM go JOIN mp USING (song, syl, run) GROUP BY song, syl, note""",
+)
 def _(spark, sf):
     """Runs shorter than four hours joined to their neighbours, with weighted pitches."""
     notes = O.merge_short_runs(_runs(spark, sf), ["song", "syl"], "run", "t", 14400.0)
@@ -396,7 +413,21 @@ def _(spark, sf):
     return out.select("song", "run", "wd", "i", F.round("s", 6).alias("start"), F.round("e", 6).alias("end"))
 
 
-@query("resolve_overlaps")
+@query(
+    "resolve_overlaps",
+    "WITH RECURSIVE " + roles.TIMED_SQL + """,
+    w AS (SELECT song, run, pos, start_ms / 1000.0::DOUBLE AS s, (end_ms + pos % 4 * 80) / 1000.0::DOUBLE AS e FROM timed),
+    p AS (SELECT song, run, list({'a': s + 0.2::DOUBLE, 'b': s + 0.2::DOUBLE + pos % 9 * 0.06::DOUBLE} ORDER BY pos) AS ps FROM w WHERE pos % 5 = 2 GROUP BY song, run),
+    nx AS (SELECT w.*, p.ps FROM w LEFT JOIN p USING (song, run)),
+    go AS (SELECT song, run, pos, s, e, CAST(NULL AS DOUBLE) AS os, CAST(NULL AS DOUBLE) AS oe FROM w WHERE pos = 0
+      UNION ALL SELECT song, run, pos, CASE WHEN e1 > s1 THEN least(e, (e1 + s1) / 2) ELSE s1 END, e, os, CASE WHEN e1 > s1 THEN greatest(os, (e1 + s1) / 2) ELSE e1 END
+      FROM (SELECT song, run, pos, e, os, CASE WHEN pa IS NULL THEN oe ELSE least(oe, pa.a) END AS e1, CASE WHEN pa IS NULL THEN s ELSE greatest(s, pa.b) END AS s1
+        FROM (SELECT nx.song, nx.run, nx.pos, nx.s, nx.e, go.s AS os, go.e AS oe, list_filter(nx.ps, lambda x: go.s <= x.a AND x.b <= nx.e)[1] AS pa
+          FROM go JOIN nx ON nx.song = go.song AND nx.run = go.run AND nx.pos = go.pos + 1))),
+    lt AS (SELECT song, run, max(pos) AS top FROM w GROUP BY song, run)
+    SELECT song, run, pos - 1 AS pos, os AS s, oe AS e FROM go WHERE pos > 0
+    UNION ALL SELECT song, run, pos, s, e FROM go JOIN lt USING (song, run) WHERE pos = top""",
+)
 def _(spark, sf):
     """Words of each turn cut at pauses and in the middle of overlaps."""
     words = roles.timed_words(spark, sf).select(

@@ -58,7 +58,17 @@ def _(spark, sf):
     return out.withColumn("hz", F.round("hz", 6)).withColumn("db", F.round("db", 4))
 
 
-@query("octave_fold")
+@query(
+    "octave_fold",
+    f"""WITH {_SPEC},
+    bands(low, high) AS (VALUES (55.0::DOUBLE, 110.0::DOUBLE), (110.0, 220.0), (440.0, 480.0)),
+    spot AS (SELECT low, k, (low + (high - low) * k / 28) / 7.8125::DOUBLE AS spot FROM bands, range(0, 29) r(k)),
+    edge AS (SELECT low, k, i, least(i + 1, 64) AS j, least(1.0, greatest(0.0, spot - i)) AS up FROM (SELECT *, least(greatest(CAST(floor(spot + 1e-12) AS BIGINT), 0), 64) AS i FROM spot)),
+    av AS (SELECT a.song, a.frame_no, low, k, a.mag * (1 - up) + z.mag * up AS v FROM edge JOIN sp a ON a.b = i JOIN sp z ON z.song = a.song AND z.frame_no = a.frame_no AND z.b = j),
+    part AS (SELECT song, frame_no, k - 1 AS cell, greatest(0.0, v - lag(v) OVER (PARTITION BY song, frame_no, low ORDER BY k)) AS x, k FROM av
+      UNION ALL SELECT song, frame_no, b - 28, mag, 1 FROM sp WHERE b BETWEEN 28 AND 55)
+    SELECT song, frame_no, CAST(cell AS INTEGER) AS cell, round(sum(x), 6) AS level FROM part WHERE k > 0 GROUP BY song, frame_no, cell""",
+)
 def _(spark, sf):
     """All octaves of the spectra folded onto 220 to 440 Hz."""
     out = X.octave_fold(_spectrum(spark, sf), ["song"], RATE, 128, 55.0, 480.0)
