@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strophe.plans import roles
 from strophe.plans.registry import query, table
+from strophe.session import fresh_path
 from strophe.sources import charts
 from strophe.streaming import feeds as S
 
@@ -96,6 +97,33 @@ def _(spark, sf):
     return S.younger_than(newest, "ts", 7, now).select("song", "status", "last_id")
 
 
+@query(
+    "stream_job_log",
+    """WITH r AS (SELECT user_id AS song, epoch_us(ts) AS us, event_id AS nth, event_type AS status, event_type || ' ' || event_id AS line,
+      row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events),
+    j AS (SELECT song, max(us) AS last_at, max(nth) FILTER (k = 1) AS last_id, max(status) FILTER (k = 1) AS status, count(*) AS seen, string_agg(line, '|' ORDER BY k DESC) FILTER (k <= 20) AS lines FROM r GROUP BY song)
+    SELECT * FROM j WHERE last_at + 7 * 86400000000 > (SELECT max(epoch_us(ts)) - 3600000000 FROM events)""",
+)
+def _(spark, sf):
+    """Newest status and last twenty lines of each job still kept, from four batches in order of time."""
+    folder = fresh_path(spark, "job-rows")
+    given = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    first, last = given.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    quarter = F.least(F.lit(3), F.floor((F.unix_micros("ts") - first) * 4 / max(1, last - first)))
+    path = None
+    for k in range(4):
+        # The feed stops and goes on from its checkpoint as each quarter of the rows arrives.
+        given.where(quarter == k).write.mode("append").parquet(folder)
+        stream = S.replay(spark, folder, "*.parquet", given.schema, per_batch=100_000).select(
+            F.col("user_id").alias("song"), "ts", "event_id", F.col("event_type").alias("status"),
+            F.concat_ws(" ", "event_type", "event_id").alias("line"),
+        )
+        jobs, path = S.job_log(stream, "song", "ts", "event_id", "status", "line", "job-log", tail=20, path=path)
+    return jobs.select(
+        "song", "last_at", F.col("last_nth").alias("last_id"), "status", "seen", F.array_join("log_tail", "|").alias("lines")
+    )
+
+
 @query(
     "stream_chunk_rate",
     "WITH " + roles.FRAMES_SQL + """,

@@ -8,15 +8,20 @@ stored rows to its end.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from pyspark.sql.types import StructType
 
 from strophe.session import fresh_path
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+TABLE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"  # lists and timers need it
+LOG_TAIL, KEPT_DAYS = 200, 7.0
 
 
 def replay(spark: SparkSession, folder: str, name: str, schema: StructType, per_batch: int = 16) -> DataFrame:
@@ -54,16 +59,16 @@ def finish(stream: DataFrame, name: str) -> DataFrame:
 
 
 def upsert(
-    stream: DataFrame, name: str, mode: str, save: Callable[[DataFrame, int, str], None]
+    stream: DataFrame, name: str, mode: str, save: Callable[[DataFrame, int, str], None], path: str | None = None
 ) -> str:
     """Run a stream through ``save(batch, batch_id, path)`` to its end; returns the path.
 
-    ``save`` must be able to run twice for a batch id.
+    ``save`` must be able to run twice for a batch id. Given the ``path`` of an
+    earlier run, the stream goes on from where that run ended.
     """
-    spark = stream.sparkSession
-    path = fresh_path(spark, name)
+    path = path or fresh_path(stream.sparkSession, name)
     job = (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", fresh_path(spark, f"{name}-progress"))
+        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-progress")
         .foreachBatch(lambda batch, batch_id: save(batch, batch_id, path)).trigger(availableNow=True).start()
     )
     job.awaitTermination()
@@ -209,3 +214,96 @@ def latest_status(
 def younger_than(df: DataFrame, at: str, days: float, now: Column) -> DataFrame:
     """Rows whose last change is at most ``days`` before ``now``."""
     return df.where(F.unix_micros(at) / F.lit(1e6) >= now - F.lit(days * 86400.0))
+
+
+@contextmanager
+def table_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in a store that holds lists and timers."""
+    held = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, TABLE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, held)
+
+
+class _Job(StatefulProcessor):
+    """One job: its newest row, its last log lines, and a timer that ends it."""
+
+    def __init__(self, key: str, tail: int, kept_ms: int):
+        self.key, self.tail, self.kept_ms = key, tail, kept_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "at bigint, nth bigint, status string, seen bigint")
+        self.lines = handle.getListState("lines", "at bigint, nth bigint, line string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        old = self.newest.get()
+        at, nth, status, seen = old if old is not None else (None, None, None, 0)
+        last = list(self.lines.get()) if old is not None else []
+        for frame in rows:
+            seen += len(frame)
+            # Sorting the tail with each batch of rows keeps at most one batch and one tail in memory.
+            fresh = frame.nlargest(self.tail, ["at", "nth"])
+            last = sorted([*last, *zip(fresh["at"].tolist(), fresh["nth"].tolist(), fresh["line"].tolist())], key=lambda x: x[:2])[-self.tail:]
+            top = fresh.iloc[0]
+            if at is None or (top["at"], top["nth"]) > (at, nth):
+                if at is not None:
+                    self.handle.deleteTimer(at // 1000 + self.kept_ms)
+                at, nth, status = int(top["at"]), int(top["nth"]), top["status"]
+                self.handle.registerTimer(at // 1000 + self.kept_ms)
+        self.newest.update((at, nth, status, seen))
+        self.lines.put(last)
+        yield self._row(key, at, nth, status, seen, [x[2] for x in last], False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at, nth, status, seen = self.newest.get()
+        self.newest.clear()
+        self.lines.clear()
+        yield self._row(key, at, nth, status, seen, [], True)
+
+    def _row(self, key, at, nth, status, seen, lines, expired) -> pd.DataFrame:
+        return pd.DataFrame({
+            self.key: [key[0]], "last_at": [at], "last_nth": [nth], "status": [status], "seen": [seen],
+            "log_tail": [lines], "expired": [expired],
+        })
+
+    def close(self) -> None:
+        pass
+
+
+def job_log(
+    stream: DataFrame, key: str, at: str, nth: str, status: str, line: str, name: str, delay: str = "1 hour",
+    tail: int = LOG_TAIL, days: float = KEPT_DAYS, path: str | None = None,
+) -> tuple[DataFrame, str]:
+    """(key, last_at, last_nth, status, seen, log_tail) of each live job, and the folder of the feed.
+
+    ``last_at`` is in microseconds; ``seen`` counts rows, ``log_tail`` holds the
+    last ``tail`` lines by (at, nth), however late they came. Rows older than the
+    watermark are left out, as are rows without key or time; a missing number counts as -1. A job ends, and its
+    state goes, once the watermark is ``days`` past its newest row; a row that
+    comes later begins it anew. State per job: one row and ``tail`` lines. With the
+    ``path`` of an earlier run the feed goes on from its checkpoint.
+    """
+    spark = stream.sparkSession
+    types = dict(stream.dtypes)
+    rows = stream.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(
+        key, F.col(at).alias("_time"), F.unix_micros(at).alias("at"), F.coalesce(F.col(nth).cast("long"), F.lit(-1)).alias("nth"),
+        F.col(status).alias("status"), F.col(line).alias("line"),
+    ).withWatermark("_time", delay)
+    jobs = rows.groupBy(key).transformWithStateInPandas(
+        _Job(key, tail, int(days * 86_400_000)),
+        f"{key} {types[key]}, last_at bigint, last_nth bigint, status string, seen bigint, log_tail array<string>, expired boolean",
+        "Update", "EventTime",
+    )
+
+    def save(batch: DataFrame, batch_id: int, place: str) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/_batch={batch_id}")
+
+    with table_state(spark):
+        path = upsert(jobs, name, "update", save, path)
+    fields = [c for c in jobs.columns if c != key]
+    table = spark.read.schema(jobs.schema.add("_batch", "long")).parquet(path)
+    last = table.groupBy(key).agg(F.max_by(F.struct(*fields), "_batch").alias("_v"))
+    return last.select(key, "_v.*").where("NOT expired").drop("expired"), path
