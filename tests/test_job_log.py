@@ -25,7 +25,7 @@ def test_late_rows_restart_and_expiry(spark):
         [
             [("a", 1.0, 1, "queued", "a1"), ("a", 2.0, 3, "done", "a3"), ("b", 2.0, 1, "queued", "b1"), ("c", 3.0, 1, "queued", "c1"), (None, 3.0, 9, "x", "x")],
             # a2 is late but within the watermark; the line before it is too late.
-            [("a", 2.9, 2, "running", "a2"), ("c", 1.0, 0, "lost", "c0"), ("c", 4.0, 2, None, None)],
+            [("a", 2.9, 2, "running", "a2"), ("c", 1.0, 0, "lost", "c0"), ("c", 4.0, None, None, None)],
             [("c", 9.5, 3, "done", "c3")],
             [("b", 12.0, 5, "queued", "b5")],
         ],
