@@ -36,17 +36,20 @@ def ladder_median(
     ladder: Sequence[float] = CONFIDENCE_LADDER,
     block: Column | None = None,
     bounded: bool = False,
+    above: float | None = 0.0,
 ) -> DataFrame:
     """(keys, median, used): the median over the most confident rows there are.
 
-    The first threshold that any positive value passes decides. Keys without a
+    The first threshold that any value greater than ``above`` passes decides; with
+    None every value that is not null counts. Keys without a
     single usable row are left out; the caller fills in its default. ``bounded``
     says that a key has few values, as the frames of one word: one aggregate then
     holds them, with a single exchange.
     """
     keys = list(keys)
     tallies = [f"_n{i}" for i in range(len(ladder))]
-    usable = df.where((F.col(value) > 0) & (F.col(confidence) > min(ladder)))
+    counts_at_all = F.col(value).isNotNull() if above is None else F.col(value) > above
+    usable = df.where(counts_at_all & (F.col(confidence) > min(ladder)))
     if bounded:
         passed = [F.col(confidence) > t for t in ladder]
         found = usable.groupBy(*keys).agg(
