@@ -9,7 +9,7 @@ from strophe.operators import generate as G
 
 from strophe.plans import roles
 from strophe.plans.registry import query, table
-from strophe.session import fresh_path
+from strophe.session import fresh_path, stage
 from strophe.sources import charts, stages, transcripts
 
 # One text line per lineitem row, in every shape the readers must cope with.
@@ -217,8 +217,8 @@ def _(spark, sf):
 
 
 def _corpus(spark, sf):
-    """Charts of all songs written as one text file each, and the folder."""
-    notes = roles.chart(spark, sf)
+    """Charts of all songs written as one text file each, and read back."""
+    notes = stage(roles.chart(spark, sf))
     songs = _songs(notes)
     heads = songs.select("song", charts.header_lines(songs).alias("header"))
     path = fresh_path(spark, "corpus")
