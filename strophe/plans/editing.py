@@ -8,6 +8,7 @@ from strophe.operators import edits as E
 from strophe.operators import generate as G
 from strophe.plans import roles
 from strophe.plans.registry import query
+from strophe.session import stage
 
 KEYS, POS = ["song"], "pos"
 _ALL = "song, pos, note_type, start_beat, duration, pitch, syllable"
@@ -161,7 +162,7 @@ def _(spark, sf):
     SELECT al.song, row_number() OVER (PARTITION BY al.song ORDER BY o, sub) - 1 AS pos, note_type, start_beat, duration, pitch, syllable, coalesce(too_long, FALSE) AS too_long FROM al LEFT JOIN fl ON fl.song = al.song AND fl.line = al.line""",
 )
 def _(spark, sf):
-    chart = roles.chart(spark, sf)
+    chart = stage(roles.chart(spark, sf))
     lined = G.line_numbers(chart, KEYS, POS).where("note_type <> '-'")
     keys = lined.groupBy("song", "line_no").agg((F.min_by("pitch", "pos") % 6).alias("line_key"))
     sources = keys.where("line_no % 5 = 1").select("song", "line_no")
