@@ -1,5 +1,6 @@
 """The job feed over several batches: late rows, restart, expiry and bounded tails."""
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from strophe.session import fresh_path
@@ -42,3 +43,35 @@ def test_long_log_keeps_the_last_lines(spark):
     rows = [("a", 1.0 + n / 1000, n, "running", f"line {n}") for n in range(300)]
     (got,) = batches(spark, [rows])
     assert got["a"][1:] == (300, [f"line {n}" for n in range(100, 300)])
+
+
+def test_few_calls_to_the_state():
+    """A batch of a known job reads and writes its state once and leaves its timer alone."""
+    calls, held = [], {}
+
+    class Handle:
+        def getValueState(self, name, schema):
+            calls.append("open")
+            return self
+
+        def get(self):
+            calls.append("get")
+            return held.get("v")
+
+        def update(self, value):
+            calls.append("update")
+            held["v"] = value
+
+        def registerTimer(self, at):
+            calls.append(f"timer {at}")
+
+    job = S._Job("job", 2, 1000)
+    job.init(Handle())
+    rows = [Row(at=1_000_000 * n, nth=n, status="s", line=f"l{n}") for n in (3, 1, 2)]
+    (got,) = job.handleInputRows(("a",), iter(rows), None)
+    assert (got["last_nth"], got["seen"], got["log_tail"]) == (3, 3, ["l2", "l3"])
+    assert calls == ["open", "get", "timer 4000", "update"]
+    calls.clear()
+    (got,) = job.handleInputRows(("a",), iter([Row(at=9_000_000, nth=4, status="t", line="l4")]), None)
+    assert (got["last_nth"], got["seen"], got["log_tail"]) == (4, 4, ["l3", "l4"])
+    assert calls == ["get", "update"]
