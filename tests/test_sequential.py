@@ -270,3 +270,19 @@ def test_character_scores_choose_word_and_characters(spark):
     assert (timed.run, timed.chars) == (1, [0.4, 0.8])
     (first,) = C.consensus_timing(words, ["song"], "run", "pos", "word").collect()
     assert first.run == 0  # word scores do not count
+
+
+def test_frames_of_a_syllable_are_exchanged_once(spark, monkeypatch):
+    """Below the fold frames cross the interval join and one exchange by syllable, which its islands' sums reuse; none is staged."""
+    staged = []
+    monkeypatch.setattr(P, "stage", lambda df: staged.append(df.columns) or df)
+    frames = [(1, k / 100, 60, 0.9, 0.8) for k in range(101)]
+    df = P.note_segments(
+        frame(spark, [(1, 0, 0.0, 1.0, 60)], "song long, syl long, start double, end double, fallback int"),
+        frame(spark, frames, "song long, t double, midi int, conf double, amp double"),
+        frame(spark, [(1, 0.1)], "song long, threshold double"), ["song"], "syl",
+    )
+    assert staged == [["song", "threshold"]]
+    assert {tuple(r)[2:] for r in df.collect()} == {(0, 0.0, 1.0, 60)}
+    below = df._jdf.queryExecution().optimizedPlan().toString().split("MapInPandas")[1]
+    assert below.count("RepartitionByExpression") == 2
