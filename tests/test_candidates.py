@@ -60,3 +60,14 @@ def test_ties_repeats_and_nothing_in_common(spark):
 
 def test_no_rows(spark):
     assert found(spark, [], [(1, 0, "a")]) == set() and found(spark, [(1, 0, "a")], []) == set()
+
+
+def test_pairs_behind_the_bar_are_not_exchanged(spark):
+    """The pairs of texts and sets cross no exchange but that of the sets that come before a bar."""
+    rng = random.Random(5)
+    texts = [(1, i, "".join(rng.choice("abcdefgh") for _ in range(4))) for i in range(40)]
+    a = spark.createDataFrame(texts, "song long, pos long, norm string")
+    b = spark.createDataFrame([(s, at, w) for s, at, w in texts], "song long, word long, norm string")
+    plan = top_candidates(a, b, ["song"], "pos", "norm", "word")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window ") == 1  # no ranking by lanes
+    assert "Aggregate [song, norm, _pool" not in plan and plan.count("Join ") <= 3
