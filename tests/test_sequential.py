@@ -274,8 +274,8 @@ def test_character_scores_choose_word_and_characters(spark):
 
 def test_frames_of_a_syllable_are_exchanged_once(spark, monkeypatch):
     """Below the fold frames cross the interval join and one exchange by syllable, which its islands' sums reuse; none is staged."""
-    staged = []
-    monkeypatch.setattr(P, "stage", lambda df: staged.append(df.columns) or df)
+    staged, stage = [], P.stage
+    monkeypatch.setattr(P, "stage", lambda df: staged.append(df.columns) or stage(df))
     frames = [(1, k / 100, 60, 0.9, 0.8) for k in range(101)]
     df = P.note_segments(
         frame(spark, [(1, 0, 0.0, 1.0, 60)], "song long, syl long, start double, end double, fallback int"),
