@@ -173,10 +173,10 @@ def best_candidate(
     Highest score, then nearest to the median midpoint of the winning readings,
     then earliest. The score is the mean of the array ``char_scores`` where it has
     any, else ``score``, which is null where there is none. A key has a row for each
-    run, so its rows are few; they are exchanged twice, by (key, reading) and by key.
+    run, so its rows are few; they are exchanged once, by key, where equal readings are peers.
     """
     keys = list(keys)
-    same = Window.partitionBy(*keys, reading)
+    same = Window.partitionBy(*keys).orderBy(reading).rangeBetween(Window.currentRow, Window.currentRow)
     rows = df.withColumns({"_c": F.count(F.lit(1)).over(same), "_first": F.min(order).over(same), "_mid": middle})
     every = Window.partitionBy(*keys)
     rows = rows.withColumn("_won", F.min(F.struct(-F.col("_c"), "_first")).over(every))
