@@ -162,9 +162,9 @@ def _(spark, sf):
     SELECT al.song, row_number() OVER (PARTITION BY al.song ORDER BY o, sub) - 1 AS pos, note_type, start_beat, duration, pitch, syllable, coalesce(too_long, FALSE) AS too_long FROM al LEFT JOIN fl ON fl.song = al.song AND fl.line = al.line""",
 )
 def _(spark, sf):
-    chart = stage(roles.chart(spark, sf))
-    lined = G.line_numbers(chart, KEYS, POS).where("note_type <> '-'")
-    keys = lined.groupBy("song", "line_no").agg((F.min_by("pitch", "pos") % 6).alias("line_key"))
+    chart = roles.chart(spark, sf)
+    lined = stage(G.line_numbers(chart, KEYS, POS))
+    keys = lined.where("note_type <> '-'").groupBy("song", "line_no").agg((F.min_by("pitch", "pos") % 6).alias("line_key"))
     sources = keys.where("line_no % 5 = 1").select("song", "line_no")
-    out = E.copy_to_repeats(chart, sources, keys, KEYS, POS)
+    out = E.copy_to_repeats(lined.drop("line_no"), sources, keys, KEYS, POS, lined)
     return out.select(*[c.strip() for c in _ALL.split(",")], "too_long")
