@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from strophe.functions.phonetics import pair_score
+from strophe.functions.phonetics import MISMATCH, pair_score
+from strophe.operators import matching
 from strophe.operators.matching import top_candidates
 
 
@@ -71,3 +73,18 @@ def test_pairs_behind_the_bar_are_not_exchanged(spark):
     plan = top_candidates(a, b, ["song"], "pos", "norm", "word")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window ") == 1  # no ranking by lanes
     assert "Aggregate [song, norm, _pool" not in plan and plan.count("Join ") <= 3
+
+
+def test_sets_are_exchanged_without_the_letters_they_are_listed_under(spark):
+    a = spark.createDataFrame([(1, 0, "abc")], "song long, pos long, norm string")
+    b = spark.createDataFrame([(1, i, w) for i, w in enumerate(["abd", "zsh", "phk"])], "song long, word long, norm string")
+    plan = top_candidates(a, b, ["song"], "pos", "norm", "word")._jdf.queryExecution().executedPlan().toString().splitlines()
+    listed = [x for x in plan if "Generate explode(_lists" in x]
+    assert listed and not [x for x in listed if "_lists" in x.split("), [")[1]]
+
+
+def test_letters_are_listed_both_ways_alike(spark):
+    letters = "abcdefghijklmnopqrstuvwxyzж"
+    rows = spark.createDataFrame([(y,) for y in letters], "y string").select("y", matching._listed_under(F.col("y")).alias("l")).collect()
+    for y, listed in rows:
+        assert sorted(set(listed)) == sorted(c for c in letters if c == y or pair_score(c, y) > MISMATCH)
